@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from ._common import table
 from .mixing import LAST, STEP, mix_sources
 from .sharding import minimax_shards
+from .simhash import simhash_groups
+from .toxicity import held_out, score_toxicity
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_toxicity(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
 def op9_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +58,8 @@ FROM counted, range(1, 1 + n) AS t(replica)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_toxicity": op7_toxicity,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op9_minimax_sharding": op9_minimax_sharding,
     "op10_source_mixing": op10_source_mixing,
 }
