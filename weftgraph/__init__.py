@@ -1,3 +1,10 @@
 """weftgraph: property-graph analytics expressed as Spark DataFrame and SQL plans."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run in Python workers travel with their code, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
