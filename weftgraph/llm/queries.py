@@ -9,9 +9,25 @@ from pyspark.sql import functions as F
 
 from ._common import table
 from .mixing import LAST, STEP, mix_sources
+from .packing import pack
 from .sharding import minimax_shards
 from .simhash import simhash_groups
 from .toxicity import held_out, score_toxicity
+from .warc import warc_round_trip
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file(), capacity=2048)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +74,8 @@ FROM counted, range(1, 1 + n) AS t(replica)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_cost_packing": op3_cost_packing,
+    "op5_warc": op5_warc,
     "op7_toxicity": op7_toxicity,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_minimax_sharding": op9_minimax_sharding,

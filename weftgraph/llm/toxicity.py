@@ -1,7 +1,8 @@
 """Toxicity scores: subword-bag embeddings averaged into a linear softmax.
 
-A word is the mean of the vectors of its hashed character n-grams and of the word itself; a
-window of words is the mean of its words; a linear softmax over that gives the window's
+A word is the mean of the vectors of its hashed character n-grams and of the word itself. The
+distinct words of a document stand in the order of their first occurrence (so that a word that
+is repeated a hundred times weighs no more than once); a window of them is the mean of its words; a linear softmax over that gives the window's
 probability, and a document scores as its worst window. Vectors and softmax are trained jointly
 in numpy on a bounded sample of labelled documents. A misspelling or an ending that was never
 seen shares most n-grams with what was.
@@ -26,17 +27,19 @@ WORD = re.compile(r"\w+")
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 17
 DIM = 8
-WINDOW = 48
-STRIDE = 24
+WINDOW = 32
+STRIDE = 16
+LEAST = 16  # a window of fewer words is averaged as if neutral words filled it up to so many
 GAIN = 30.0  # of the softmax over means, so that one word of a window can tip it
 SAMPLE_PER_CLASS = 3000  # labelled documents of each class that training takes, at most
-EPOCHS = 14
+EPOCHS = 20
 CACHE = 400_000  # words whose scores a task keeps at hand
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """The distinct words of the whole text, by first occurrence."""
+    return list(dict.fromkeys(WORD.findall((text or "").lower())))
 
 
 def word_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +114,7 @@ class Model:
         for i, ws in enumerate(tokens):
             total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(own.__getitem__, ws), np.float64, len(ws)))])
             a, b = window_bounds(len(ws))
-            worst = float(((total[b] - total[a]) / (b - a)).max()) if len(a) else 0.0
+            worst = float(((total[b] - total[a]) / np.maximum(b - a, LEAST)).max()) if len(a) else 0.0
             out[i] = worst + self.bias
         return 1.0 / (1.0 + np.exp(-np.clip(out, -500, 500)))
 
@@ -144,7 +147,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             if not len(a):
                 continue
             total = np.concatenate([[0.0], np.cumsum(score[ids])])
-            worst = int(np.argmax((total[b] - total[a]) / (b - a)))
+            worst = int(np.argmax((total[b] - total[a]) / np.maximum(b - a, LEAST)))
             other = int(rng.integers(len(a)))
             for w in {worst, other} if y_all[k] == 0 else ({other, worst} if epoch < 2 else {worst}):
                 picks.append((k, a[w], b[w]))
@@ -154,17 +157,18 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
             part = picks[s : s + 256]
             ids = np.concatenate([docs[k][a:b] for k, a, b in part])
             n = np.array([b - a for _, a, b in part])
+            by = np.maximum(n, LEAST)
             y = y_all[[k for k, _, _ in part]]
             own, inv = np.unique(ids, return_inverse=True)
             at = bucket[ragged(offsets[own], size[own])]
             cut = np.cumsum(size[own]) - size[own]
             word = np.add.reduceat(vec[at], cut, axis=0) / size[own][:, None]
-            mean = np.add.reduceat(word[inv], np.cumsum(n) - n, axis=0) / n[:, None]
+            mean = np.add.reduceat(word[inv], np.cumsum(n) - n, axis=0) / by[:, None]
             logit = GAIN * (mean @ soft) + bias
             p = np.exp(logit - logit.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             err = (p - np.eye(2)[y]) * (weight[[k for k, _, _ in part]] / len(part))[:, None]
-            g_soft, g_bias, g_mean = GAIN * mean.T @ err, err.sum(axis=0), GAIN * err @ soft.T / n[:, None]
+            g_soft, g_bias, g_mean = GAIN * mean.T @ err, err.sum(axis=0), GAIN * err @ soft.T / by[:, None]
             spread = np.repeat(g_mean, n, axis=0)
             each = np.stack([np.bincount(inv, spread[:, d], len(own)) for d in range(DIM)], axis=1) / size[own][:, None]
             flow = np.repeat(each, size[own], axis=0)
