@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import table
+from .ann import nearest
+from .embedding_dedup import near_vectors
 from .mixing import LAST, STEP, mix_sources
 from .packing import pack
 from .sharding import minimax_shards
@@ -16,6 +18,14 @@ from .toxicity import held_out, score_toxicity
 from .warc import warc_round_trip
 
 
+def op1_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -74,6 +84,8 @@ FROM counted, range(1, 1 + n) AS t(replica)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ivfpq_search": op1_ivfpq_search,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op3_cost_packing": op3_cost_packing,
     "op5_warc": op5_warc,
     "op7_toxicity": op7_toxicity,
