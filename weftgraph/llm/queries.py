@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ._common import table
 from .ann import nearest
 from .embedding_dedup import near_vectors
+from .lm_score import score_documents
 from .mixing import LAST, STEP, mix_sources
 from .packing import pack
+from .pii import KINDS, find_pii
 from .sharding import minimax_shards
 from .simhash import simhash_groups
 from .toxicity import held_out, score_toxicity
@@ -22,6 +24,19 @@ def op1_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, (lambda k: lambda s: s == k)(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(written("base_spans"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
@@ -83,14 +98,37 @@ SELECT doc_id, text, lang, source, n_chars, replica::INT AS replica,
 FROM counted, range(1, 1 + n) AS t(replica)
 """
 
+OP6_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS ws
+  FROM documents
+),
+toks AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM split),
+one AS (SELECT w, count(*) AS c FROM toks GROUP BY w),
+total AS (SELECT sum(c) AS n FROM one),
+pairs AS (SELECT a.doc_id, a.w AS v, b.w AS w FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+two AS (SELECT v, w, count(*) AS c FROM pairs GROUP BY v, w),
+terms AS (
+  SELECT p.doc_id, ln(t.c) - ln(o.c) AS s FROM pairs p JOIN two t USING (v, w) JOIN one o ON o.w = p.v
+  UNION ALL
+  SELECT k.doc_id, ln(o.c) - ln(total.n) FROM toks k JOIN one o USING (w), total WHERE k.i = 1
+),
+sums AS (SELECT doc_id, sum(s) AS s FROM terms GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, round(coalesce(s.s, 0.0), 4) AS log_score,
+  CASE WHEN len(d.ws) > 0 THEN round(s.s / len(d.ws), 6) END AS mean_log_score
+FROM split d LEFT JOIN sums s USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ivfpq_search": op1_ivfpq_search,
+    "op2_crf_pii": op2_crf_pii,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op3_cost_packing": op3_cost_packing,
     "op5_warc": op5_warc,
+    "op6_lm_score": op6_lm_score,
     "op7_toxicity": op7_toxicity,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_minimax_sharding": op9_minimax_sharding,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op10_source_mixing": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_lm_score": OP6_SQL, "op10_source_mixing": OP10_SQL}
