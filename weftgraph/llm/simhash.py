@@ -53,16 +53,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row."""
+    """doc_id, text_hash and fp (the fingerprint as a signed long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), words, seed) for t in b["text"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    rows = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 # -- the plan of parts and thresholds ------------------------------------------------------
@@ -202,6 +202,16 @@ def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(verify, "a long, b long")
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprinted rows, and for each fingerprint its component's root and the first row
+    (by id, rows without one last) of those that have it."""
+    own = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash")))
+    distinct = materialize(own.groupBy("fp").agg(low.alias("low")), "simhash-distinct")
+    roots = connected_components(near_links(distinct, radius))
+    return own, distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of each row of docs.
 
@@ -210,11 +220,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     have fingerprint zero and link like others. Repeated rows stay, each with its component.
     An empty table gives an empty result; other columns are not carried.
     """
-    own = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
-    distinct = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
-    roots = connected_components(near_links(distinct, radius))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    own, placed = _placed(docs, id_col, text_col, words, radius)
+    lows = placed.groupBy("root").agg(F.min("low").getField("doc_id").alias("component_id"))
     named = placed.select("fp", "root").join(lows, "root").select(F.col("fp").alias("named_fp"), "component_id")
     out = own.join(named, F.col("fp") == F.col("named_fp"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each component stays: the one
+    with the smallest id (one without an id only if no other is there). Of repeated rows one
+    stays. Null and empty texts are one component."""
+    _, placed = _placed(docs, id_col, text_col, words, radius)
+    first = placed.groupBy("root").agg(F.min("low").alias("low"))
+    first = materialize(first.select(F.col("low.doc_id").alias("__first_id"), F.col("low.text_hash").alias("__first_hash")), "simhash-first")
+    hashed = docs.withColumn("__text_hash", F.xxhash64(col(text_col)))
+    kept = hashed.join(first, (F.col("__text_hash") == F.col("__first_hash")) & col(id_col).eqNullSafe(F.col("__first_id")), "left_semi")
+    return kept.dropDuplicates(["__text_hash", id_col]).select(*[col(c) for c in docs.columns])
