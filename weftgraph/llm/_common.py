@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +57,11 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def per_process(key: str, make: Callable[[], Any]) -> Any:
+    """make(), once in each Python worker: it is kept from task to task."""
+    held = sys.modules.setdefault("_weftgraph_per_process", types.ModuleType("_weftgraph_per_process")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
