@@ -63,6 +63,7 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, rows_of: Callable[[np
             held: list[dict[str, np.ndarray]] = []
             owners: list[int] = []
             sizes: list[int] = []
+            total = 0
 
             def flush() -> pa.RecordBatch:
                 ids = b["doc_id"].take(pa.array(np.repeat(owners, sizes)))
@@ -76,9 +77,10 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, rows_of: Callable[[np
                     held.append(made)
                     owners.append(i)
                     sizes.append(len(made["key"]))
-                    if sum(sizes[-64:]) and sum(sizes) >= ROWS:
+                    total += sizes[-1]
+                    if total >= ROWS:
                         yield flush()
-                        held, owners, sizes = [], [], []
+                        held, owners, sizes, total = [], [], [], 0
             if held:
                 yield flush()
 
@@ -87,13 +89,14 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, rows_of: Callable[[np
 
 
 def _one(h: np.ndarray) -> dict[str, np.ndarray]:
-    """Distinct words: times they occur, times they are a context, whether they are the first."""
-    key, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-    role = n.copy()
-    role[inverse[-1]] -= 1
-    first = np.zeros(len(key), np.int64)
-    first[inverse[0]] = 1
-    return {"key": key.view(np.int64), "n": n, "context": role, "first": first}
+    """Distinct words. code: four times their number, plus 2 for the last word, 1 for the first."""
+    ordered = np.sort(h)
+    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    key = ordered[at]
+    code = 4 * np.diff(at, append=len(h))
+    code[np.searchsorted(key, h[-1])] += 2
+    code[np.searchsorted(key, h[0])] += 1
+    return {"key": key.view(np.int64), "code": code}
 
 
 def _two(h: np.ndarray) -> dict[str, np.ndarray]:
@@ -105,13 +108,19 @@ def _two_words(h: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def unigrams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _exploded(docs, id_col, text_col, _one, {"key": "long", "n": "int", "context": "int", "first": "int"})
+    return _exploded(docs, id_col, text_col, _one, {"key": "long", "code": "long"})
 
 
 def bigrams(docs: DataFrame, id_col: str, text_col: str, with_words: bool = False) -> DataFrame:
     return _exploded(docs, id_col, text_col, *((_two_words, {"key": "long", "v": "long", "w": "long"}) if with_words else (_two, {"key": "long"})))
 
 
+def _whole(n: Column) -> Column:
+    """The sum of n, written so that it reads doc_id: the count table then needs the same columns
+    of the exploded n-grams as the join, and both read one exchange."""
+    return F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), n)), F.lit(0)) + F.coalesce(F.sum(F.when(F.col("doc_id").isNotNull(), n)), F.lit(0))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of tables that nothing refers to any more."""
     spark.sparkContext._jvm.System.gc()
@@ -128,15 +137,16 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None, id_col: st
     spark = docs.sparkSession
     own = corpus is None
     lacking = not own or min_count > 1
-    # Order one: counts, contexts and first words.
+    # Order one: a word is a context wherever it isn't the last of its text.
+    n, last, first = F.shiftright("code", 2), F.shiftright("code", 1).bitwiseAND(F.lit(1)), F.col("code").bitwiseAND(F.lit(1))
     dealt = unigrams(docs, id_col, text_col).repartition("key")
-    counted = (dealt if own else unigrams(corpus, id_col, text_col)).groupBy("key").agg(F.sum("n").alias("c"))
+    counted = (dealt if own else unigrams(corpus, id_col, text_col).repartition("key")).groupBy("key").agg(_whole(n).alias("c"))
     if lacking:
         counted = materialize(counted, "lm-words")
         total = float(counted.agg(F.sum("c")).first()[0] or 0)
     joined = dealt.join(counted.hint("shuffle_hash"), "key", "left" if not own else "inner")
     ln = F.log(F.coalesce(F.col("c").cast("double"), F.lit(unseen)))
-    sums = joined.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum((F.col("first") - F.col("context")) * ln).alias("s1"), F.sum("first").alias("starts"))
+    sums = joined.groupBy("doc_id").agg(F.sum(n).alias("n_words"), F.sum((first - n + last) * ln).alias("s1"), F.sum(last).alias("starts"))
     sums = materialize(sums, "lm-order-1")
     if not lacking:
         total = float(sums.agg(F.sum("n_words")).first()[0] or 0)
@@ -144,7 +154,7 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None, id_col: st
     free_shuffles(spark)
     # Order two.
     pairs = bigrams(docs, id_col, text_col, with_words=lacking).repartition("key")
-    table = (pairs if own else bigrams(corpus, id_col, text_col)).groupBy("key").agg(F.count("*").alias("c"))
+    table = (pairs if own else bigrams(corpus, id_col, text_col).repartition("key")).groupBy("key").agg(_whole(F.lit(1)).alias("c"))
     if lacking:
         table = materialize(table.filter(F.col("c") >= min_count), "lm-pairs")
     met = pairs.join(table.hint("shuffle_hash"), "key", "left" if lacking else "inner")
