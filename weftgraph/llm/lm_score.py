@@ -11,9 +11,11 @@ The logarithm parts the score into sums that each need one count table only:
     sum ln S = sum over pairs ln c(v w) - sum over contexts ln c(v) + ln c(first) - ln N
 
 so each order is one pass: n-grams (a 64-bit hash each) are exploded and partitioned by hash
-once, counted there, joined to their counts where they lie, and summed per document. Only pairs
-that the table lacks go on, with their words, to a third join that puts the backed-off score in
-place of what the first two sums took for them.
+once, counted there, joined to their counts where they lie, and summed per document. N-grams that
+a look at some documents shows to be common are dealt over SALTS partitions each, and their counts
+put together; a common one that the look missed only makes its partition larger. Only pairs that
+the table lacks go on, with their words, to a third join that puts the backed-off score in place
+of what the first two sums took for them.
 """
 
 from __future__ import annotations
@@ -27,18 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import col, materialize, per_process
+from ._common import col, materialize
 
-WORDS = 500_000  # words whose hashes a Python worker keeps at hand
 ROWS = 200_000  # n-grams that are handed to Spark at once
-
-
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 9)
-        return h
+SALTS = 64  # partitions that share a common n-gram
+LOOK = 2000  # documents, about, that are looked at for common n-grams
+COMMON = 0.02  # share of them in which a common n-gram occurs
+MOST_COMMON = 5000  # n-grams that are dealt so, at most; their counts are broadcast
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,13 +49,13 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _exploded(docs: DataFrame, id_col: str, text_col: str, rows_of: Callable[[np.ndarray], dict[str, np.ndarray]], schema: dict[str, str]) -> DataFrame:
-    """One row (doc_id, what rows_of makes of a document's word hashes) per n-gram."""
+def _exploded(docs: DataFrame, id_col: str, text_col: str, rows_of: Callable[[np.ndarray], dict[str, np.ndarray]], schema: list[str], common: np.ndarray | None = None) -> DataFrame:
+    """One row (doc_id, salt, what rows_of makes of a document's word hashes) per n-gram. The salt
+    is 0 but for n-grams of the sorted array `common`."""
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    kinds = {"long": pa.int64(), "int": pa.int32()}
+    common = np.empty(0, np.int64) if common is None else common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = per_process("lm-hashes", Hashes)
         for b in batches:
             held: list[dict[str, np.ndarray]] = []
             owners: list[int] = []
@@ -66,14 +63,18 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, rows_of: Callable[[np
             total = 0
 
             def flush() -> pa.RecordBatch:
-                ids = b["doc_id"].take(pa.array(np.repeat(owners, sizes)))
-                cols = [pa.array(np.concatenate([h[c] for h in held]), kinds[t]) for c, t in schema.items()]
-                return pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", *schema])
-
-            for i in range(b.num_rows):
-                found = words_of(b["text"][i].as_py())
+                at = np.repeat(owners, sizes)
+                made = {c: np.concatenate([h[c] for h in held]) for c in schema}
+                salt = np.zeros(len(at), np.int32)
+                if len(common):
+                    place = np.minimum(np.searchsorted(common, made["key"]), len(common) - 1)
+                    salt = np.where(common[place] == made["key"], 1 + at % SALTS, 0).astype(np.int32)
+                return pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(at)), pa.array(salt), *(pa.array(made[c], pa.int64()) for c in schema)], names=["doc_id", "salt", *schema])
+
+            for i, text in enumerate(t for s in range(0, b.num_rows, 500) for t in b["text"].slice(s, 500).to_pylist()):
+                found = words_of(text)
                 if found:
-                    made = rows_of(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
+                    made = rows_of(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
                     held.append(made)
                     owners.append(i)
                     sizes.append(len(made["key"]))
@@ -85,7 +86,7 @@ def _exploded(docs: DataFrame, id_col: str, text_col: str, rows_of: Callable[[np
                 yield flush()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in schema.items()))
+    return rows.mapInArrow(run, f"doc_id {kind}, salt int, " + ", ".join(f"{c} long" for c in schema))
 
 
 def _one(h: np.ndarray) -> dict[str, np.ndarray]:
@@ -100,19 +101,55 @@ def _one(h: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _two(h: np.ndarray) -> dict[str, np.ndarray]:
-    return {"key": pair_hash(h[:-1], h[1:]).view(np.int64)}
+    """Distinct pairs and their numbers."""
+    ordered = np.sort(pair_hash(h[:-1], h[1:]))
+    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+    return {"key": ordered[at].view(np.int64), "n": np.diff(at, append=len(ordered))}
 
 
 def _two_words(h: np.ndarray) -> dict[str, np.ndarray]:
-    return {"key": pair_hash(h[:-1], h[1:]).view(np.int64), "v": h[:-1].view(np.int64), "w": h[1:].view(np.int64)}
+    """Pairs with their words, each with its number, in the first of its places."""
+    key, first, n = np.unique(pair_hash(h[:-1], h[1:]), return_index=True, return_counts=True)
+    return {"key": key.view(np.int64), "n": n, "v": h[:-1][first].view(np.int64), "w": h[1:][first].view(np.int64)}
+
+
+def unigrams(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray | None = None) -> DataFrame:
+    return _exploded(docs, id_col, text_col, _one, ["key", "code"], common)
+
+
+def bigrams(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray | None = None) -> DataFrame:
+    return _exploded(docs, id_col, text_col, _two, ["key", "n"], common)
+
+
+def bigrams_with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return _exploded(docs, id_col, text_col, _two_words, ["key", "n", "v", "w"])
+
+
+def _one_and_two(h: np.ndarray) -> dict[str, np.ndarray]:
+    one, two = _one(h)["key"], _two(h)["key"]
+    return {"key": np.concatenate([one, two]), "order": np.repeat([1, 2], [len(one), len(two)])}
 
 
-def unigrams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _exploded(docs, id_col, text_col, _one, {"key": "long", "code": "long"})
+def common_ngrams(docs: DataFrame, id_col: str, text_col: str) -> dict[int, np.ndarray]:
+    """By order, the sorted hashes of n-grams that occur in a share COMMON of some LOOK documents."""
+    n = docs.count()
+    some = docs if n <= LOOK else docs.sample(LOOK / n, seed=1)
+    seen = _exploded(some, id_col, text_col, _one_and_two, ["key", "order"]).groupBy("order", "key").agg(F.count("*").alias("docs"))
+    seen = seen.filter(F.col("docs") >= max(2, COMMON * min(n, LOOK)))
+    rows = seen.orderBy(F.desc("docs"), "key").limit(MOST_COMMON).collect()
+    return {k: np.sort(np.array([r["key"] for r in rows if r["order"] == k], np.int64)) for k in (1, 2)}
 
 
-def bigrams(docs: DataFrame, id_col: str, text_col: str, with_words: bool = False) -> DataFrame:
-    return _exploded(docs, id_col, text_col, *((_two_words, {"key": "long", "v": "long", "w": "long"}) if with_words else (_two, {"key": "long"})))
+def with_counts(rows: DataFrame, n: Column) -> DataFrame:
+    """Exploded n-grams with c, the sum of n over all of their kind, by one exchange."""
+    # The same filter that joins infer, stated once for all three readers of the exchange.
+    dealt = rows.filter("key IS NOT NULL AND salt IS NOT NULL").repartition("key", "salt")
+    local = dealt.groupBy("key", "salt").agg(_whole(n).alias("c"))
+    # The random part is always 0; it keeps the filter above the exchange, which is read again.
+    salted = dealt.filter(F.col("salt") + F.floor(F.rand(0)) > 0)
+    common = salted.groupBy("key").agg(_whole(n).alias("all_c"))  # at most MOST_COMMON rows
+    table = local.join(F.broadcast(common), "key", "left").select("key", "salt", F.coalesce("all_c", "c").alias("c"))
+    return dealt.join(table.hint("shuffle_hash"), ["key", "salt"])
 
 
 def _whole(n: Column) -> Column:
@@ -137,31 +174,33 @@ def score_documents(docs: DataFrame, corpus: DataFrame | None = None, id_col: st
     spark = docs.sparkSession
     own = corpus is None
     lacking = not own or min_count > 1
+    common = {} if lacking else common_ngrams(docs, id_col, text_col)
     # Order one: a word is a context wherever it isn't the last of its text.
     n, last, first = F.shiftright("code", 2), F.shiftright("code", 1).bitwiseAND(F.lit(1)), F.col("code").bitwiseAND(F.lit(1))
-    dealt = unigrams(docs, id_col, text_col).repartition("key")
-    counted = (dealt if own else unigrams(corpus, id_col, text_col).repartition("key")).groupBy("key").agg(_whole(n).alias("c"))
     if lacking:
-        counted = materialize(counted, "lm-words")
+        counted = materialize((docs if own else corpus).transform(unigrams, id_col, text_col).groupBy("key").agg(F.sum(n).alias("c")), "lm-words")
         total = float(counted.agg(F.sum("c")).first()[0] or 0)
-    joined = dealt.join(counted.hint("shuffle_hash"), "key", "left" if not own else "inner")
+        met = unigrams(docs, id_col, text_col).join(counted, "key", "left")
+    else:
+        met = with_counts(unigrams(docs, id_col, text_col, common[1]), n)
     ln = F.log(F.coalesce(F.col("c").cast("double"), F.lit(unseen)))
-    sums = joined.groupBy("doc_id").agg(F.sum(n).alias("n_words"), F.sum((first - n + last) * ln).alias("s1"), F.sum(last).alias("starts"))
+    sums = met.groupBy("doc_id").agg(F.sum(n).alias("n_words"), F.sum((first - n + last) * ln).alias("s1"), F.sum(last).alias("starts"))
     sums = materialize(sums, "lm-order-1")
     if not lacking:
         total = float(sums.agg(F.sum("n_words")).first()[0] or 0)
-    del dealt, joined
+    del met
     free_shuffles(spark)
     # Order two.
-    pairs = bigrams(docs, id_col, text_col, with_words=lacking).repartition("key")
-    table = (pairs if own else bigrams(corpus, id_col, text_col).repartition("key")).groupBy("key").agg(_whole(F.lit(1)).alias("c"))
     if lacking:
+        table = (docs if own else corpus).transform(bigrams, id_col, text_col).groupBy("key").agg(F.sum("n").alias("c"))
         table = materialize(table.filter(F.col("c") >= min_count), "lm-pairs")
-    met = pairs.join(table.hint("shuffle_hash"), "key", "left" if lacking else "inner")
-    second = materialize(met.groupBy("doc_id").agg(F.sum(F.log(F.col("c").cast("double"))).alias("s2")), "lm-order-2")
+        met = bigrams_with_words(docs, id_col, text_col).join(table, "key", "left")
+    else:
+        met = with_counts(bigrams(docs, id_col, text_col, common[2]), F.col("n"))
+    second = materialize(met.groupBy("doc_id").agg(F.sum(F.col("n") * F.log(F.col("c").cast("double"))).alias("s2")), "lm-order-2")
     parts = [sums.select("doc_id", "n_words", F.col("s1").alias("s"), "starts"), second.select("doc_id", F.lit(0).cast("long"), "s2", F.lit(0).cast("long"))]
     if lacking:
-        lost = met.filter("c IS NULL").groupBy("doc_id", "v", "w").agg(F.count("*").alias("n"))
+        lost = met.filter("c IS NULL").select("doc_id", "v", "w", "n")
         word = lambda name: F.log(F.coalesce(F.col(name).cast("double"), F.lit(unseen)))
         lost = lost.join(counted.select(F.col("key").alias("v"), F.col("c").alias("cv")), "v", "left").join(counted.select(F.col("key").alias("w"), F.col("c").alias("cw")), "w", "left")
         gain = F.col("n") * (word("cv") + F.lit(math.log(backoff)) + word("cw") - F.lit(math.log(max(total, 1.0))))
