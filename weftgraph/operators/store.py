@@ -116,7 +116,7 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         at = self.current(name)
-        return S.empty(self.spark, S.SCHEMAS[name]) if at is None else self.spark.read.schema(S.SCHEMAS[name]).parquet(f"{self.root}/{name}/{at}")
+        return S.empty(self.spark, S.SCHEMAS[name]) if at is None else self.spark.read.schema(S.SCHEMAS[name]).parquet(f"{self.root}/{name}/{at}").select(*S.SCHEMAS[name].names)
 
     def write(self, name: str, df: DataFrame) -> None:
         snapshot = uuid.uuid4().hex

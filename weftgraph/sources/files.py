@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EXTENSIONS, MARKERS, basename, fingerprint, language_of
 
-#: What is never indexed, and per language.
-EXCLUDES = ("**/__pycache__/**", "**/*.egg-info/**", "**/.venv/**", "**/venv/**", "**/node_modules/**", "**/dist/**", "**/build/**", "**/.next/**", "**/coverage/**", "**/target/**", "**/.cargo/**", "**/vendor/**", "**/pkg/**", "**/.git/**")
+#: What is never indexed, and what is not of one language.
+EXCLUDES = ("**/__pycache__/**", "**/*.egg-info/**", "**/.venv/**", "**/venv/**", "**/node_modules/**", "**/.git/**")
+OWN_EXCLUDES = {
+    "javascript": ("**/dist/**", "**/build/**", "**/.next/**", "**/coverage/**"), "typescript": ("**/dist/**", "**/build/**", "**/.next/**", "**/coverage/**"),
+    "rust": ("**/target/**", "**/.cargo/**"), "go": ("**/vendor/**", "**/pkg/**"), "ruby": ("**/vendor/bundle/**",), "php": ("**/vendor/**",),
+}
 
 
 def expand_braces(pattern: str) -> list[str]:
@@ -45,15 +52,55 @@ def includes(languages: list[str]) -> list[str]:
     return [f"**/*{e}" for name in languages for e in EXTENSIONS[name]] or ["**/*.py"]
 
 
+LISTED = "path string, file_path string, size long, modified timestamp"
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """LISTED rows of all files under root. The driver lists them (names only): Spark's own file
+    sources would pass over names that begin with an underscore, such as __init__.py."""
+    from datetime import datetime, timezone
+
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/") + "/"
+    rows, found = [], fs.listFiles(top, True)
+    while found.hasNext():
+        f = found.next()
+        path = f.getPath().toString()
+        rows.append((path, path.removeprefix(base), f.getLen(), datetime.fromtimestamp(f.getModificationTime() / 1000, timezone.utc)))
+    return spark.createDataFrame(rows, LISTED)
+
+
+def read_contents(listed: DataFrame) -> DataFrame:
+    """(file_path, content, modified, size) of listed files; each is read by the task that has
+    its row. Bytes that are not UTF-8 are replaced; a file that is gone has no content."""
+    import pyarrow.fs as pafs
+
+    def read(path: str) -> str | None:
+        try:
+            fs, at = pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+            with fs.open_input_stream(at, compression=None) as f:
+                return f.read().decode("utf-8", "replace")
+        except OSError:
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for k in range(0, len(whole), 200):
+                pdf = whole.iloc[k : k + 200]
+                yield pd.DataFrame({"file_path": pdf["file_path"], "content": pdf["path"].map(read), "modified": pdf["modified"], "size": pdf["size"]})
+
+    return listed.mapInPandas(run, "file_path string, content string, modified timestamp, size long")
+
+
 def discover(spark: SparkSession, root: str, include: list[str] | None = None, exclude: tuple[str, ...] = EXCLUDES) -> DataFrame:
     """(file_path relative to root, content, modified, size, language) of the files under root
-    that match include and not exclude."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.removeprefix("file://").rstrip("/") + "/"
-    path = F.element_at(F.split(F.col("path"), F.lit("\\Q" + base + "\\E"), 2), -1)
-    files = raw.select(path.alias("file_path"), F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-    wanted = matches_any(F.col("file_path"), include or includes(list(EXTENSIONS))) & ~matches_any(F.col("file_path"), exclude)
-    return files.filter(wanted).withColumn("language", language_of(F.col("file_path")))
+    that match include and neither exclude nor what their language leaves out."""
+    listed = list_files(spark, root)
+    at, language = F.col("file_path"), language_of(F.col("file_path"))
+    own = F.coalesce(*[F.when(language == name, matches_any(at, some)) for name, some in OWN_EXCLUDES.items()], F.lit(False))
+    wanted = matches_any(at, include or includes(list(EXTENSIONS))) & ~matches_any(at, exclude) & ~own
+    return read_contents(listed.filter(wanted)).withColumn("language", language)
 
 
 def detect_languages(files: DataFrame) -> DataFrame:

@@ -51,11 +51,11 @@ def ingest(stream: DataFrame, store: Store, extract: Callable[[DataFrame], tuple
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], value: str, length: str = "1 day", late: str = "1 day", slide: str | None = None) -> DataFrame:
     """Counts and sums per window and key; with a watermark, on streams or tables alike."""
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
-    held = events.withWatermark(ts, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    held = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return held.select(F.col("w.start").alias("window_start"), *keys, "n", "total")
 
 
 def sessions(events: DataFrame, ts: str, user: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Sessions of each user: runs of events less than a gap apart."""
-    held = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), user).agg(F.count("*").alias("n"))
+    held = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), user).agg(F.count("*").alias("n"))
     return held.select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
