@@ -28,6 +28,7 @@ from ._common import col, fresh_path, materialize
 VERSION = b"WARC/1.1"
 READ = 1 << 18  # compressed bytes that the reader takes at once
 ARCHIVE_BYTES = 64 << 20  # an archive is closed once it is this long
+MOST_TASKS = 20_000  # that read archives; more archives share tasks
 DATE = "2024-01-01T00:00:00Z"  # fixed, so that writing again gives the same bytes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -224,7 +225,9 @@ def read_archives(archives: DataFrame, path_col: str = "path", with_payload: boo
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held), arrow)], schema=arrow)
 
-    return archives.select(col(path_col).alias("path")).repartition("path").mapInArrow(read, schema)
+    # One task an archive: a list of paths is too short for Spark to spread by itself.
+    tasks = max(1, min(MOST_TASKS, archives.count()))
+    return archives.select(col(path_col).alias("path")).repartition(tasks).mapInArrow(read, schema)
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
