@@ -33,7 +33,7 @@ def importance(nodes: DataFrame, edges: DataFrame, respect_archived: bool = Fals
     if public, divided by the largest, to three digits. respect_archived: archived nodes get
     three tenths of it."""
     raw = (F.col("in_degree") * 1.0 + F.col("out_degree") * 0.5 + type_weight(F.col("node_type"))) * F.when(F.coalesce("is_public", F.lit(True)), 1.2).otherwise(1.0)
-    scored = nodes.drop("importance").join(degrees(nodes, edges), "id").withColumn("__raw", raw)
+    scored = materialize(nodes.drop("importance").join(degrees(nodes, edges), "id").withColumn("__raw", raw), "scores")  # read twice
     largest = scored.agg(F.max("__raw")).first()[0] or 1.0  # one number
     score = F.round(F.col("__raw") / F.lit(float(largest)), 3)
     if respect_archived:

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import compose_text, cosine, tokens, unit, vector_dot
+from ..functions.scalars import compose_text, cosine, tokens, unit
+from ..plans.shared import materialize
 from .graph import degrees, edge_profile
 from .schema import EDGE_TYPES, NODE_TYPES
 
@@ -40,7 +41,7 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 def tfidf(docs: DataFrame, id_col: str = "id", text: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """((id, term, weight), (term, df, idf)); idf = ln((N + 1) / (df + 1)) + 1 over all documents."""
-    counts = term_counts(docs, id_col, node_text() if text is None else text)
+    counts = materialize(term_counts(docs, id_col, node_text() if text is None else text), "terms")  # read twice
     n = docs.count()
     vocab = document_frequency(counts).withColumn("idf", F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1)
     return counts.join(vocab, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("weight")), vocab
@@ -179,13 +180,39 @@ def top_similar(vectors: DataFrame, query: list[float], k: int, id_col: str, vec
     return similarity(vectors, query, vec_col).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+NEIGHBOUR_TILE = 1024  # points of a block that are compared with as many in one step
+
+
 def neighbours(points: DataFrame, k: int, id_col: str, vec_col: str, block_col: str) -> DataFrame:
     """(id, neighbour, rank): for each point its k nearest of the same block, by dot product.
-    Blocks bound the work; points without a block have no neighbours."""
-    a = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("__a"), F.col(block_col).alias("__block"))
-    b = points.select(F.col(id_col).alias("neighbour"), F.col(vec_col).alias("__b"), F.col(block_col).alias("__block"))
-    pairs = a.join(b, "__block").filter("id <> neighbour").withColumn("__s", vector_dot(F.col("__a"), F.col("__b")))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("__s"), "neighbour"))).filter(F.col("rank") <= k).select("id", "neighbour", "rank")
+
+    A block is cut into chunks; each pair of chunks is one small matrix product that hands on the
+    k best of each of its points, so pairs are never listed and a large block is many tasks.
+    Points without a block or a vector have no neighbours.
+    """
+    held = points.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.xxhash64(block_col).alias("block"), F.col(block_col).isNotNull().alias("ok")).filter("ok AND v IS NOT NULL AND id IS NOT NULL")
+    sizes = held.groupBy("block").agg(F.ceil(F.count("*") / NEIGHBOUR_TILE).cast("int").alias("chunks"))
+    cut = held.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    asks = cut.select("block", F.col("own").alias("i"), every.alias("j"), F.lit(0).alias("side"), "id", "v")
+    data = cut.select("block", every.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "id", "v")
+
+    def best(pdf):
+        import pandas as pd
+
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "neighbour": [], "score": []})
+        score = np.stack(a["v"]) @ np.stack(b["v"]).T
+        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
+        score[ids[:, None] == others[None, :]] = -np.inf
+        at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        got = np.take_along_axis(score, at, axis=1)
+        out = pd.DataFrame({"id": np.repeat(ids, at.shape[1]), "neighbour": others[at].ravel(), "score": got.ravel()})
+        return out[out["score"] > -np.inf]
+
+    found = asks.union(data).groupBy("block", "i", "j").applyInPandas(best, "id long, neighbour long, score double")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "neighbour"))).filter(F.col("rank") <= k).select("id", "neighbour", "rank")
 
 
 def branch_scores(seeds: DataFrame, edges: DataFrame, sims: DataFrame, prune: float = PRUNE) -> DataFrame:
@@ -243,8 +270,6 @@ def circle(ids: DataFrame, position: Column | None = None, total: int | None = N
     n = total if total is not None else ids.count()
     ranged = ids.repartitionByRange("id").withColumn("__part", F.spark_partition_id()) if position is None else ids
     if position is None:
-        from ..plans.shared import materialize
-
         ranged = materialize(ranged, "circle")
         sizes = ranged.groupBy("__part").agg(F.count("*").alias("c"))
         first = sizes.select("__part", (F.sum("c").over(Window.orderBy("__part")) - F.col("c")).alias("__first"))  # a row for each partition

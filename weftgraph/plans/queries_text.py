@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import filters, text, vectors
 from . import starschema as star
+from .shared import materialize, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,7 +35,7 @@ idf AS (SELECT term, df, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return star.table(spark, sf, "documents")
+    return spread(star.table(spark, sf, "documents"))
 
 
 @query(f"SELECT doc_id, len({TOKENS.format('text')})::INT AS n_tokens, len(list_distinct({TOKENS.format('text')}))::INT AS n_distinct FROM documents")
@@ -62,7 +63,7 @@ post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_fi
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    return text.postings(_docs(spark, sf), "doc_id", ("text",))
+    return materialize(text.postings(_docs(spark, sf), "doc_id", ("text",)), "postings")
 
 
 @query(f"WITH {POSTINGS} SELECT term, count(*)::BIGINT AS docs, sum(tf)::BIGINT AS occurrences FROM post GROUP BY 1")
