@@ -1,11 +1,13 @@
 """Nearest neighbours by inner product: an inverted file with product-quantised residuals.
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every row is indexed:
-it goes to the list of its nearest centroid, and its residual is coded by one byte per
-sub-space. A query probes the lists whose centroids have the largest inner product with it. In
+it goes to the list of its nearest centroid, and its residual, divided by the list's mean
+residual length, is coded by one byte per sub-space. (Without that scale, a dense group of near
+copies would share a few codes.) A query probes the lists whose centroids have the largest inner product with it. In
 a list its asymmetric table (inner products of its sub-vectors with all codewords) scores every
-row by table look-ups, and the best rows of each block are ranked again by exact inner products
-of the original vectors in double precision.
+row by table look-ups. The rows of a block whose score is not below the k-th best by more than
+the list's coding error allows (so all of a dense group of near copies, which codes hardly tell
+apart) are ranked again by exact inner products of the original vectors in double precision.
 
 Lists are cut into blocks and a list's queries into sets, both of bounded size, so a list that
 holds a third of all rows is many small tasks. Ties go to the smaller id at every step.
@@ -31,7 +33,9 @@ MOST_LISTS = 4096
 PROBE = 0.75  # share of the lists that a query probes; without structure in the data, 0.55 gives recall 0.9
 BLOCK = 2048  # rows of a list that are scored in one step
 QUERY_BLOCK = 512  # queries of a list that are scored in one step
-SHORT = 32  # rows of each block that are ranked again
+BAND = 2.5  # standard errors of a coded inner product below the k-th best that are ranked again
+TIES = 20  # rows beyond k whose last digits are compared
+LEAST_SCALE = 8  # sampled rows of a list from which its own scale is taken
 
 
 def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -50,6 +54,8 @@ def k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 @dataclass
 class Index:
     centre: np.ndarray  # lists x dim
+    scale: np.ndarray  # of each list, the length that its residuals are divided by
+    error: np.ndarray  # of each list, the length of what coding loses
     cuts: list[int]  # bounds of the sub-spaces
     books: list[np.ndarray]  # of each sub-space, codewords x width
 
@@ -57,7 +63,7 @@ class Index:
         return np.argmax(x @ self.centre.T - (self.centre**2).sum(axis=1) / 2, axis=1)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = x - self.centre[lists]
+        rest = (x - self.centre[lists]) / self.scale[lists][:, None]
         out = np.empty((len(x), len(self.books)), np.uint8)
         for j, book in enumerate(self.books):
             out[:, j] = np.argmax(rest[:, self.cuts[j] : self.cuts[j + 1]] @ book.T - (book**2).sum(axis=1) / 2, axis=1)
@@ -75,9 +81,19 @@ def fit(x: np.ndarray, lists: int, subspaces: int = 16, seed: int = 11) -> Index
     rng = np.random.default_rng(seed)
     centre = k_means(x, lists, 10, rng)
     cuts = np.linspace(0, x.shape[1], min(subspaces, x.shape[1]) + 1).astype(int).tolist()
-    rest = x - centre[np.argmax(x @ centre.T - (centre**2).sum(axis=1) / 2, axis=1)]
+    own = np.argmax(x @ centre.T - (centre**2).sum(axis=1) / 2, axis=1)
+    rest = x - centre[own]
+    power, n = (rest**2).sum(axis=1), np.bincount(own, minlength=lists)
+    whole = float(np.sqrt(power.mean())) or 1.0
+    mean = np.sqrt(np.bincount(own, power, lists) / np.maximum(n, 1))
+    scale = np.where((n >= LEAST_SCALE) & (mean > 1e-9 * whole), mean, whole)
+    rest /= scale[own][:, None]
     words = min(256, len(x))
-    return Index(centre, cuts, [k_means(rest[:, a:b], words, 6, rng) for a, b in zip(cuts, cuts[1:])])
+    index = Index(centre, scale, scale, cuts, [k_means(rest[:, a:b], words, 6, rng) for a, b in zip(cuts, cuts[1:])])
+    codes = index.encode(x, own)
+    lost = sum((((rest[:, a:b] - index.books[j][codes[:, j]]) ** 2).sum(axis=1) for j, (a, b) in enumerate(zip(cuts, cuts[1:]))), np.zeros(len(x))) * scale[own] ** 2
+    index.error = np.where(n >= LEAST_SCALE, np.sqrt(np.bincount(own, lost, lists) / np.maximum(n, 1)), np.sqrt(lost.mean()))
+    return index
 
 
 def shortlist(score: np.ndarray, n: int) -> np.ndarray:
@@ -90,17 +106,24 @@ def shortlist(score: np.ndarray, n: int) -> np.ndarray:
     return np.nonzero(take)[1].reshape(len(score), n)
 
 
-def search_block(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, list_no: int, query_ids: np.ndarray, q: np.ndarray, k: int, short: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search_block(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, list_no: int, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the ids and exact scores of its k best rows of the block."""
     order = np.argsort(ids, kind="stable")
-    ids, x, codes = ids[order], x[order], codes[order]
-    score = np.repeat((q @ index.centre[list_no]).astype(np.float32)[:, None], len(ids), axis=1)
+    ids, x, codes = ids[order], x[order].astype(np.float64), codes[order]
+    score = np.zeros((len(q), len(ids)), np.float32)
     for j, table in enumerate(index.tables(q)):
         score += table[:, codes[:, j]]
+    score = score * np.float32(index.scale[list_no]) + (q @ index.centre[list_no]).astype(np.float32)[:, None]
     score[query_ids[:, None] == ids[None, :]] = -np.inf  # a query is no neighbour of its own
-    cols = shortlist(score, max(short, k))
-    exact = np.einsum("qrd,qd->qr", x[cols].astype(np.float64), q)
-    exact[np.take_along_axis(score, cols, axis=1) == -np.inf] = -np.inf
+    if len(ids) > k:
+        least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+        least = least - BAND * np.sqrt((q**2).sum(axis=1) / q.shape[1]) * index.error[list_no] - 1e-6 * np.abs(least)
+        score[score < least[:, None]] = -np.inf
+    near = np.round(q @ x.T, 10)  # to ten digits, so that equal vectors tie whatever the order of the sums
+    near[score == -np.inf] = -np.inf
+    cols = shortlist(near, k + TIES)
+    exact = np.einsum("qrd,qd->qr", x[cols], q)
+    exact[np.take_along_axis(near, cols, axis=1) == -np.inf] = -np.inf
     best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
     for i in range(len(q)):
         v = exact[i, best[i]]
@@ -127,7 +150,7 @@ def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str =
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = min(MOST_LISTS, max(LEAST_LISTS, 1 << int(np.log2(n**0.5 / 4 + 1))), max(1, len(some) // 4))
     index = fit(np.frombuffer(b"".join(bytes(r["vec"]) for r in some), kind).reshape(-1, dim).astype(np.float64), lists)
-    shared = spark.sparkContext.broadcast((index.centre, index.cuts, index.books))
+    shared = spark.sparkContext.broadcast((index.centre, index.scale, index.error, index.cuts, index.books))
     n_probe = max(1, int(np.ceil(probe * lists)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +200,7 @@ def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str =
                 for s in range(0, len(asks), 128):
                     part = asks[s : s + 128]
                     q = matrix(t["vec"].take(pa.array(part)), dim, kind).astype(np.float64)
-                    got = [g for g in search_block(own, ids[data], x, codes, int(which[a]), ids[part], q, k, SHORT) if len(g[1])]
+                    got = [g for g in search_block(own, ids[data], x, codes, int(which[a]), ids[part], q, k) if len(g[1])]
                     yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
 
     met = left.union(right.select(left.columns)).repartition("list", "block", "set").sortWithinPartitions("list", "block", "set")
