@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Callable
@@ -12,40 +11,21 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize, shared_dir
+
+__all__ = ["col", "discard", "fresh_path", "materialize", "per_process", "table"]
+
 
 def col(name: str) -> Column:
     """A column by its literal name, dots and back quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where that is unset (tests on one machine) a temporary folder takes its place.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has used."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there and
-    the rows outlive the executors that made them."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a materialised table that is no longer read."""
     jvm = spark.sparkContext._jvm
