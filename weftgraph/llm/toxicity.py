@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col
+from ._common import col, materialize
 
 WORD = re.compile(r"\w+")
 GRAMS = (3, 4, 5)
@@ -190,14 +190,15 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Train on at most per_class labelled documents of each class, chosen by a hash of the id,
-    that are not held out. A document labelled twice is toxic if any label says so."""
+    that are not held out. A document labelled twice is toxic if any label says so; of rows that
+    share an id the smallest text counts."""
     marks = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
     marks = marks.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).filter("id IS NOT NULL").join(marks, "id")
-    got: list = []
-    for y in (1, 0):
-        chosen = marks.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
-        got += rows.filter(F.col("y") == y).join(F.broadcast(chosen.select("id")), "id", "left_semi").select("id", "text", "y").collect()
+    first = [marks.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (1, 0)]
+    chosen = materialize(first[0].union(first[1]), "toxicity-sample")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
+    some = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    got = some.collect()  # a row for each of at most 2 * per_class ids
     got = sorted({(r["id"], r["text"] or "", r["y"]) for r in got})
     return train([t for _, t, _ in got], [y for _, _, y in got])
 
