@@ -46,14 +46,17 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.whole = Tokenizer.from_file(path)
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
         self.letters = Tokenizer.from_file(path)  # for words of letters only, which are not split
         self.letters.normalizer = None
-        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.letters.get_vocab_size(), bool)  # ids that end a word
+        for token, i in self.letters.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
 
     def look_up(self, words: list[str]) -> None:
@@ -61,14 +64,22 @@ class Encoder:
         rest = list(set(words).difference(plain))
         letters = [w for w in plain if w.isalpha()]
         plain = [w for w in plain if not w.isalpha()]
-        for tokenizer, some in ((self.letters, letters), (self.plain, plain), (self.whole, rest)):
+        for k in range(0, len(letters), 1000):
+            some = letters[k : k + 1000]
+            ids = np.array(self.letters.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(some):
+                rest += some  # never seen: a word of letters ends with one such id
+                continue
+            data, at = ids.tobytes(), 0
+            for w, end in zip(some, cuts):
+                self.words[w] = data[at:end]
+                at = end
+        for tokenizer, some in ((self.plain, plain), (self.whole, rest)):
             for k in range(0, len(some), 20_000):
                 part = some[k : k + 20_000]
-                ids = [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
-                flat = np.array([i for x in ids for i in x], "<u4").tobytes()
-                at = 0
-                for w, x in zip(part, ids):
-                    self.words[w] = flat[at : (at := at + 4 * len(x))]
+                for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
+                    self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def parts(self, text: str | None) -> list[str]:
         text = MARK.sub(r" \1", text or "").replace("\n", " ")
