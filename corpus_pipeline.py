@@ -16,7 +16,7 @@ from weftgraph.llm.mixing import mix_sources
 from weftgraph.llm.packing import pack
 from weftgraph.llm.pii import find_pii
 from weftgraph.llm.queries import tokenizer_file
-from weftgraph.llm.simhash import drop_near_duplicates
+from weftgraph.llm.shingles import drop_similar
 from weftgraph.llm.toxicity import score_toxicity
 
 TOXIC_FROM = 0.3
@@ -33,8 +33,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, the one with the smallest id."""
-    return drop_near_duplicates(docs, words=3, radius=3)
+    """One document of each component of word-shingle similarity, the one with the smallest id."""
+    return drop_similar(docs, words=5, similarity=0.8)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

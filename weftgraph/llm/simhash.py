@@ -227,13 +227,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs, with all their columns, of which one of each component stays: the one
-    with the smallest id (one without an id only if no other is there). Of repeated rows one
-    stays. Null and empty texts are one component."""
-    _, placed = _placed(docs, id_col, text_col, words, radius)
+def keep_first(docs: DataFrame, placed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that are the first of their root; placed: root and low (none, doc_id, text_hash)."""
     first = placed.groupBy("root").agg(F.min("low").alias("low"))
     first = materialize(first.select(F.col("low.doc_id").alias("__first_id"), F.col("low.text_hash").alias("__first_hash")), "simhash-first")
     hashed = docs.withColumn("__text_hash", F.xxhash64(col(text_col)))
     kept = hashed.join(first, (F.col("__text_hash") == F.col("__first_hash")) & col(id_col).eqNullSafe(F.col("__first_id")), "left_semi")
     return kept.dropDuplicates(["__text_hash", id_col]).select(*[col(c) for c in docs.columns])
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each component stays: the one
+    with the smallest id (one without an id only if no other is there). Of repeated rows one
+    stays. Null and empty texts are one component."""
+    _, placed = _placed(docs, id_col, text_col, words, radius)
+    return keep_first(docs, placed, id_col, text_col)
