@@ -71,6 +71,22 @@ def test_other_languages(path):
     assert links <= {(e["edge_type"], e["target_name"]) for e in edges}
 
 
+def test_long_definitions_keep_their_code(spark):
+    pad = "".join(f"    # filler line number {k} of a long class\n" for k in range(300))
+    late = "    late = Column(Integer, primary_key=True)\n"
+    model = "class User(Base):\n    __tablename__ = 'users'\n" + pad + late
+    work = "def work(session):\n" + pad + "    api_key = 'abcdefgh12345'\n    return session.query(User).all()\n"
+    other = "class Box {\n" + "  // filler line of a long class\n" * 400 + "  // the end\n}\n"
+    df = spark.createDataFrame([("m.py", model + "\n\n" + work), ("b.js", other)], "file_path string, content string")
+    nodes, edges, _ = indexing.extract(df)
+    by = {(r["node_type"], r["name"]): r for r in nodes.collect()}
+    assert any(kind == "column" and name.endswith("late") for kind, name in by)
+    assert by["function", "work"]["has_redacted_content"] and by["function", "work"]["raw_code"].endswith("session.query(User).all()") and "abcdefgh12345" not in by["function", "work"]["raw_code"]
+    assert by["class", "Box"]["raw_code"].endswith("// the end\n}") and len(by["module", "m"]["raw_code"]) == len(by["module", "b"]["raw_code"]) == 8000
+    ids = {r["id"]: r["name"] for r in by.values()}
+    assert ("work", "users", "queries") in {(ids[r["source_id"]], ids[r["target_id"]], r["edge_type"]) for r in edges.collect()}
+
+
 def test_files_without_content(spark):
     df = spark.createDataFrame([("a.py", None), (None, "x = 1"), ("b.go", "")], "file_path string, content string")
     nodes, edges = parse_files(df)

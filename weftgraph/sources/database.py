@@ -122,7 +122,9 @@ def detect_orm(nodes: DataFrame) -> DataFrame:
         .otherwise(snake_case(F.col("name")))
     )
     found = c.withColumn("kind", kind).filter("kind IS NOT NULL").withColumn("table_name", table)
-    lines = found.select("*", F.posexplode(F.split("code", "\n")).alias("ordinal", "line")).withColumn("next", F.get(F.split("code", "\n"), F.col("ordinal") + 1))
+    split = F.split("code", "\n")
+    both = F.arrays_zip(split, F.slice(split, F.lit(2), F.size(split)))  # each line with the next, in one pass over a long text
+    lines = found.select("*", F.posexplode(both).alias("ordinal", "__both")).select("*", F.col("__both")["0"].alias("line"), F.col("__both")["1"].alias("next"))
     line = F.col("line")
     # How a line of each ORM declares a column (name, type, arguments).
     sa, dj = r"^\s*(\w+)\s*=\s*Column\s*\(\s*([A-Za-z_][\w.]*)?([^)]*)", r"^\s*(\w+)\s*=\s*models\.(\w+Field|ForeignKey|ManyToManyField|OneToOneField)\s*\(([^)]*)\)"

@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from .python_code import short_id
+from .python_code import MODULE_CODE, short_id
 
 C_LIKE = {"javascript", "typescript", "go", "rust", "php"}
 ENDINGS = {".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".rs": "rust", ".rb": "ruby", ".rake": "ruby", ".php": "php"}
@@ -73,7 +73,7 @@ def parse_other(path: str, source: str) -> tuple[list[dict], list[dict]]:
         public = bool(re.match("[A-Z]", name.rsplit(".", 1)[-1])) if language == "go" else "pub" in lines[first] if language == "rust" and lines else not name.rsplit(".", 1)[-1].startswith("_")
         key = short_id(path, kind, name, str(first + 1))
         sign = lines[first].strip().rstrip("{").strip() if lines else ""
-        nodes.append({"id": key, "name": name, "node_type": kind, "file_path": path, "line_start": first + 1, "line_end": last + 1, "signature": sign[:256], "docstring": "\n".join(above).strip(), "complexity": min(100, 1 + len(BRANCH.findall(code))) if kind in ("function", "method") else 1, "is_public": public, "decorators": marks, "content_hash": hashlib.sha256(code.encode("utf-8", "surrogatepass")).hexdigest()[:16], "language": language, "raw_code": code[:8000], "summary_short": f"{kind} {name}"[:200], "category": "codebase"})
+        nodes.append({"id": key, "name": name, "node_type": kind, "file_path": path, "line_start": first + 1, "line_end": last + 1, "signature": sign[:256], "docstring": "\n".join(above).strip(), "complexity": min(100, 1 + len(BRANCH.findall(code))) if kind in ("function", "method") else 1, "is_public": public, "decorators": marks, "content_hash": hashlib.sha256(code.encode("utf-8", "surrogatepass")).hexdigest()[:16], "language": language, "raw_code": code if nodes else code[:MODULE_CODE], "summary_short": f"{kind} {name}"[:200], "category": "codebase"})
         return key
 
     def link(source_id: str, target: str, kind: str) -> None:

@@ -13,6 +13,7 @@ NODE_SCHEMA = "id string, name string, node_type string, file_path string, line_
 EDGE_SCHEMA = "source_id string, target_name string, edge_type string, context string, file_path string, weight double, ordinal long"
 #: What is not worth a call edge at module level.
 COMMON = ("print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "super", "isinstance", "getattr", "setattr", "hasattr")
+MODULE_CODE = 8000  # characters of its text that a module node holds; other nodes hold all of theirs
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Assert, ast.IfExp, ast.comprehension, ast.BoolOp, ast.match_case)
 
 
@@ -43,7 +44,7 @@ def parse_python(path: str, source: str) -> tuple[list[dict], list[dict]]:
     def add(kind: str, name: str, first: int, last: int, doc: str = "", signature: str = "", public: bool = True, marks: list[str] | None = None, cx: int = 1) -> str:
         code = "\n".join(lines[max(first - 1, 0) : last])
         key = short_id(path, kind, name)
-        nodes.append({"id": key, "name": name, "node_type": kind, "file_path": path, "line_start": first, "line_end": last, "signature": signature[:256], "docstring": doc, "complexity": cx, "is_public": public, "decorators": marks or [], "content_hash": hashlib.sha256(code.encode("utf-8", "surrogatepass")).hexdigest()[:16], "language": "python", "raw_code": code[:8000], "summary_short": (doc.strip().split("\n")[0] if doc.strip() else f"{kind} {name}")[:200], "category": "codebase"})
+        nodes.append({"id": key, "name": name, "node_type": kind, "file_path": path, "line_start": first, "line_end": last, "signature": signature[:256], "docstring": doc, "complexity": cx, "is_public": public, "decorators": marks or [], "content_hash": hashlib.sha256(code.encode("utf-8", "surrogatepass")).hexdigest()[:16], "language": "python", "raw_code": code[:MODULE_CODE] if kind == "module" else code, "summary_short": (doc.strip().split("\n")[0] if doc.strip() else f"{kind} {name}")[:200], "category": "codebase"})
         return key
 
     def link(source_id: str, target: str, kind: str, weight: float = 1.0) -> None:
