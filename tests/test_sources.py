@@ -71,6 +71,30 @@ def test_other_languages(path):
     assert links <= {(e["edge_type"], e["target_name"]) for e in edges}
 
 
+PARAMETERS = ["a", "b", "c", "d", "e", "f", "g", "h"]
+LONG_HEADERS = {
+    "a.js": ("function go(\n" + "".join(f"  {p}, // one :(\n" for p in PARAMETERS) + ") {\n  if (a) target(a);\n}\n", 12),
+    "b.js": ("function go(\n  { x, y },\n" + "".join(f"  {p} = ')',\n" for p in PARAMETERS) + ") {\n  if (a) target(a);\n}\n", 13),
+    "a.ts": ("function go(\n" + "".join(f"  {p}: {{ x: number; }},\n" for p in PARAMETERS) + "): void {\n  if (a) target(a);\n}\n", 12),
+    "a.go": ("func go(\n" + "".join(f"\t{p} int,\n" for p in PARAMETERS) + ") error {\n\tif a { target(a) }\n}\n", 12),
+    "a.rs": ("fn go<'a>(\n" + "".join(f"    {p}: &'a [u8; 4],\n" for p in PARAMETERS) + ") -> u8\nwhere\n" + "".join(f"    {p.upper()}: Clone,\n" for p in PARAMETERS) + "{\n    if a { target(a) }\n}\n", 22),
+    "a.php": ("<?php\nfunction go(\n" + "".join(f"    ${p},\n" for p in PARAMETERS) + "): int\n{\n    if ($a) { target($a); }\n}\n", 14),
+}
+
+
+@pytest.mark.parametrize("path", sorted(LONG_HEADERS))
+def test_one_parameter_a_line(path):
+    source, last = LONG_HEADERS[path]
+    nodes, edges = parse_other(path, source + "\nfunction after() {\n}\n")
+    go = next(n for n in nodes if n["name"] == "go")
+    assert go["line_end"] == last and go["complexity"] > 1 and "target" in {e["target_name"] for e in edges if e["source_id"] == go["id"] and e["edge_type"] == "calls"}
+
+
+def test_headers_without_a_body():
+    nodes, _ = parse_other("a.ts", "function f(\n  a: string,\n  b: string,\n): void;\nconst g = (x: number) => foo(x, {a: 1})\nfunction h({ a })\n{\n  run(a)\n}\n")
+    assert {n["name"]: (n["line_start"], n["line_end"]) for n in nodes if n["node_type"] == "function"} == {"f": (1, 4), "g": (5, 5), "h": (6, 9)}
+
+
 def test_long_definitions_keep_their_code(spark):
     pad = "".join(f"    # filler line number {k} of a long class\n" for k in range(300))
     late = "    late = Column(Integer, primary_key=True)\n"

@@ -29,6 +29,10 @@ BRANCH = re.compile(r"\b(?:if|elsif|else if|for|while|case|catch|match|rescue|wh
 WORDS = {"if", "for", "while", "switch", "return", "catch", "function", "func", "fn", "match", "elsif", "unless", "def", "class", "new", "sizeof", "typeof", "await", "super"}
 CALL = re.compile(r"(?<![\w.])(?:\w+(?:\.|::|->))*(\w{2,}[?!]?)\s*\(")
 
+#: What may hold brackets that don't count in the header of a declaration: comments and short texts.
+QUOTED = re.compile(r"/\*.*?\*/|//.*|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)'|'[^',<>&]*'|`[^`]*`")
+GOES_ON = re.compile(r"(?:[,|&+=:]|->|=>|\bwhere)\s*$|^\s*$")
+
 
 def block_end(lines: list[str], first: int, language: str) -> int:
     """The last line (from 0) of the declaration that begins at `first`."""
@@ -38,16 +42,23 @@ def block_end(lines: list[str], first: int, language: str) -> int:
             if re.match(rf"\s{{{indent}}}end\b", lines[k]):
                 return k
         return first
-    depth, opened = 0, False
+    depth, held, last = 0, 0, first  # braces, brackets of the header, the last line that the header surely goes on after
+    opened = body = False
     for k in range(first, len(lines)):
-        for c in lines[k]:
+        line = lines[k] if body else QUOTED.sub("", lines[k])
+        for c in line:
+            if not body:
+                held += (c in "([") - (c in ")]")
             depth += (c == "{") - (c == "}")
             opened |= c == "{"
-        if opened and depth <= 0:
+            body |= c == "{" and held <= 0
+        if opened and depth <= 0 and (body or held <= 0 and not "".join(lines[k + 1 : k + 2]).lstrip().startswith("{")):
             return k
-        if not opened and (lines[k].rstrip().endswith(";") or k > first + 5):
+        if not opened and held <= 0 and (line.rstrip().endswith(";") or k > last + 5):
             return k
-    return len(lines) - 1 if opened else first
+        if held > 0 or GOES_ON.search(line):
+            last = k
+    return len(lines) - 1 if body else first
 
 
 def parse_other(path: str, source: str) -> tuple[list[dict], list[dict]]:
