@@ -101,6 +101,22 @@ def test_svd_equals_numpy_up_to_sign(spark):
     assert all(np.allclose(got[str(k + 1)], want[k]) for k in range(5))
 
 
+def test_svd_takes_the_whole_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TERM_CHUNK", 50)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join([f"common{t}" for t in rng.integers(0, 12, 4)] + [f"rare{rng.integers(0, 150)}", f"only{i}"])) for i in range(60)]
+    weights, vocab = vectors.tfidf(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t"))
+    model = vectors.fit_svd(weights, vocab, 60, 6, most_terms=20)
+    terms = sorted(r["term"] for r in vocab.collect())
+    x = np.zeros((60, len(terms)))
+    for r in weights.collect():
+        x[r["id"], terms.index(r["term"])] = r["weight"]
+    _, _, vt = np.linalg.svd(x - x.mean(axis=0))
+    assert model.components.shape == (6, len(terms)) and np.allclose(model.mean, x.mean(axis=0))
+    assert np.allclose(np.abs(model.components @ vt[:6].T), np.eye(6), atol=1e-4)
+    assert any(vectors.embed_query(spark, "only7", model))
+
+
 def test_embeddings_are_unit_vectors_and_are_kept_up(spark):
     n = corpus(spark)
     e = spark.createDataFrame([("1", "5", "calls", "", 1.0)], schema.EDGES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +23,11 @@ PRUNE = 0.10
 DECAY = 0.5
 TEXT_FIELDS = ("name", "signature", "docstring", "summary_short", "summary_detailed", "lsp_type_info", "lsp_hover_doc")
 WEIGHTS = {"similarity": 0.5, "importance": 0.3, "branch": 0.2, "name": 0.15}
-MOST_TERMS = 20_000  # terms, by document frequency, whose Gram matrix the decomposition takes
+MOST_TERMS = 20_000  # terms up to which the decomposition takes their Gram matrix; above, products with it
+TERM_CHUNK = 4096  # terms whose sums travel together
+SPARE = 8  # vectors that are iterated beyond those asked for
+RESIDUAL = 1e-7  # of the largest eigenvalue, that each vector asked for may be off
+PASSES = 300  # products at most; a warning says if they were not enough
 
 
 def node_text() -> Column:
@@ -57,15 +63,98 @@ class Model:
     version: str = MODEL_VERSION
 
 
+def leading(product: Callable[[np.ndarray], np.ndarray], size: int, k: int, seed: int = 1) -> np.ndarray:
+    """The k leading eigenvectors (columns) of a symmetric positive matrix of which only products
+    with blocks of vectors are known: a block Davidson method that restarts at three blocks."""
+    width = min(size, k + SPARE)
+    new = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
+    base, image = np.zeros((size, 0)), np.zeros((size, 0))
+    for _ in range(PASSES):
+        base, image = np.hstack([base, new]), np.hstack([image, product(new)])
+        small = base.T @ image
+        value, turn = np.linalg.eigh((small + small.T) / 2)
+        turn = turn[:, np.argsort(-value)[:width]]
+        x, ax = base @ turn, image @ turn
+        rest = ax - x * (x * ax).sum(axis=0)
+        off = np.linalg.norm(rest, axis=0)
+        least = RESIDUAL * max(float(value.max()), 0.0)
+        if (off[:k] <= least).all() or base.shape[1] >= size:
+            return x[:, :k]
+        if base.shape[1] + width > 3 * width:
+            base, image = x, ax
+        rest = rest[:, off > least / 10] / off[off > least / 10]
+        for _ in range(2):
+            rest = rest - base @ (base.T @ rest)
+            u, s, _ = np.linalg.svd(rest, full_matrices=False)
+            rest = u[:, s > 1e-8][:, : size - base.shape[1]]
+        if not rest.shape[1]:
+            return x[:, :k]
+        new = rest
+    warnings.warn(f"fit_svd: after {PASSES} products a vector is off by {off[:k].max():.1e} (wanted {least:.1e})", stacklevel=2)
+    return x[:, :k]
+
+
+def fit_svd_by_products(listed: DataFrame, index: DataFrame, vocab: DataFrame, size: int, n: int, k: int) -> Model:
+    """fit_svd for a vocabulary of any size: the driver and each task hold a few blocks of
+    vocabulary x k numbers (at k = 100 up to about 8 KB a term on the driver)."""
+    spark = listed.sparkSession
+
+    def product(q: np.ndarray) -> np.ndarray:
+        width = q.shape[1]
+        shared = spark.sparkContext.broadcast(q)
+        step = TERM_CHUNK
+
+        def multiply(batches):
+            import pandas as pd
+
+            q, held = shared.value, {}
+            for pdf in batches:
+                for s in range(0, len(pdf), 500):
+                    xs = pdf["x"].iloc[s : s + 500]
+                    sizes = np.array([len(x) for x in xs])
+                    at = np.array([t["idx"] for x in xs for t in x])
+                    w = np.array([t["weight"] for x in xs for t in x])
+                    y = np.add.reduceat(w[:, None] * q[at], np.cumsum(sizes) - sizes, axis=0)
+                    part = w[:, None] * np.repeat(y, sizes, axis=0)
+                    order = np.argsort(at, kind="stable")
+                    terms, first = np.unique(at[order], return_index=True)
+                    sums = np.add.reduceat(part[order], first, axis=0)
+                    for c in np.unique(terms // step):
+                        own = terms // step == c
+                        held.setdefault(int(c), np.zeros((step, width)))[terms[own] % step] += sums[own]
+            yield pd.DataFrame({"chunk": list(held), "total": [h.tobytes() for h in held.values()]})
+
+        def add(pdf):
+            import pandas as pd
+
+            return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "total": [sum(np.frombuffer(t) for t in pdf["total"]).tobytes()]})
+
+        out = np.zeros((size, width))
+        for row in listed.mapInPandas(multiply, "chunk int, total binary").groupBy("chunk").applyInPandas(add, "chunk int, total binary").toLocalIterator():
+            start = row["chunk"] * step
+            out[start : start + step] = np.frombuffer(row["total"]).reshape(step, width)[: size - start]
+        shared.destroy()
+        return out - n * np.outer(mean, mean @ q)
+
+    mean = np.zeros(size)
+    for row in listed.select(F.explode("x").alias("t")).groupBy("t.idx").agg(F.sum("t.weight").alias("w")).toLocalIterator():
+        mean[row["idx"]] = row["w"] / max(n, 1)
+    vectors = leading(product, size, max(0, min(k, n - 1, size)))
+    return Model(index.join(vocab.select("term", "idf"), "term"), vectors.T, mean)
+
+
 def fit_svd(weights: DataFrame, vocab: DataFrame, n: int, k: int = COMPONENTS, most_terms: int = MOST_TERMS) -> Model:
-    """The leading right singular vectors of the centred matrix, from its Gram matrix over the
-    terms. Products of term pairs are summed across the cluster (documents are short); the driver
-    holds at most most_terms squared numbers, and decomposes them. Their signs are arbitrary."""
-    kept = vocab.orderBy(F.desc("df"), "term").limit(most_terms)
-    names = sorted(r["term"] for r in kept.select("term").collect())  # at most most_terms
+    """The leading right singular vectors of the centred matrix over the whole vocabulary; their
+    signs are arbitrary. Up to most_terms terms come from their Gram matrix: products of term
+    pairs are summed across the cluster (documents are short); the driver holds at most
+    most_terms squared numbers, and decomposes them. More are iterated on products with it."""
+    names = sorted(r["term"] for r in vocab.select("term").collect())  # the model holds a row of k numbers for each
     spark = weights.sparkSession
     index = spark.createDataFrame(list(zip(names, range(len(names)))), "term string, idx int")
-    listed = weights.join(F.broadcast(index), "term").groupBy("id").agg(F.collect_list(F.struct("idx", "weight")).alias("x"))  # index: at most most_terms rows
+    small = len(names) <= most_terms
+    listed = weights.join(F.broadcast(index) if small else index, "term").groupBy("id").agg(F.collect_list(F.struct("idx", "weight")).alias("x"))
+    if not small:
+        return fit_svd_by_products(materialize(listed, "svd-rows"), index, vocab, len(names), n, k)
 
     def gram(batches):
         size = len(names)
@@ -111,7 +200,7 @@ def project(weights: DataFrame, model: Model, center: bool = True) -> DataFrame:
     loads = spark.createDataFrame(rows, "term string, load array<double>")
     k = len(model.components)
     part = F.transform("load", lambda x: x * F.col("weight"))
-    sums = weights.join(F.broadcast(loads), "term").select("id", F.posexplode(part)).groupBy("id", "pos").agg(F.sum("col").alias("v"))  # loads: at most MOST_TERMS rows
+    sums = weights.join(F.broadcast(loads) if len(names) <= MOST_TERMS else loads, "term").select("id", F.posexplode(part)).groupBy("id", "pos").agg(F.sum("col").alias("v"))
     base = (model.components @ model.mean).tolist() if center else [0.0] * k
     lists = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("m"))
     shift = F.array(*[F.lit(float(x)) for x in base])
