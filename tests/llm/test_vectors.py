@@ -52,6 +52,26 @@ def test_hot_lists_are_cut_and_ties_go_to_smaller_ids(spark, monkeypatch):
         assert [v for _, v in sorted(rows)] == [v for v in range(6) if v != q][:5]
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 1e-12])
+def test_short_vectors_are_ranked_like_long_ones(spark, scale):
+    x = np.random.default_rng(8).normal(size=(400, 16)) * scale
+    x[::7] *= 1e-3
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(docs, F.col("vec_id") % 40 == 0, k=5, probe=1.0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    index = ann.fit(x, 1)
+    codes = index.encode(x, np.zeros(400, int))
+    hits = 0
+    for q, ids, score in ann.search_block(index, np.arange(400), x, codes, 0, np.arange(0, 400, 40), x[::40], 5):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = np.argsort(-s, kind="stable")[:5]
+        hits += len(set(want) & found[q])
+        assert len(set(want) & set(ids.tolist())) >= 4 and np.allclose(score, s[ids], rtol=1e-9, atol=0)
+    assert hits >= 0.9 * 50
+
+
 def test_odd_vectors_take_no_part(spark):
     got = ann.nearest(odd(spark), F.col("vec_id") % 20 == 0, k=20, probe=1.0).collect()
     assert {r["query_id"] for r in got} == {0, 20}

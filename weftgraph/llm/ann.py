@@ -34,7 +34,6 @@ PROBE = 0.75  # share of the lists that a query probes; without structure in the
 BLOCK = 2048  # rows of a list that are scored in one step
 QUERY_BLOCK = 512  # queries of a list that are scored in one step
 BAND = 2.5  # standard errors of a coded inner product below the k-th best that are ranked again
-TIES = 20  # rows beyond k whose last digits are compared
 LEAST_SCALE = 8  # sampled rows of a list from which its own scale is taken
 
 
@@ -119,16 +118,18 @@ def search_block(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray
         least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
         least = least - BAND * np.sqrt((q**2).sum(axis=1) / q.shape[1]) * index.error[list_no] - 1e-6 * np.abs(least)
         score[score < least[:, None]] = -np.inf
-    near = np.round(q @ x.T, 10)  # to ten digits, so that equal vectors tie whatever the order of the sums
+    # Ranked by sums in one order: all rows that may be among the k best whatever rounding did to the product.
+    near = q @ x.T
     near[score == -np.inf] = -np.inf
-    cols = shortlist(near, k + TIES)
-    exact = np.einsum("qrd,qd->qr", x[cols], q)
-    exact[np.take_along_axis(near, cols, axis=1) == -np.inf] = -np.inf
-    best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+    slack = 2 * q.shape[1] * np.finfo(np.float64).eps * np.outer(np.sqrt((q**2).sum(axis=1)), np.sqrt((x**2).sum(axis=1)))
+    may = near > -np.inf
+    if len(ids) > k:
+        may &= near + slack >= np.partition(near - slack, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
     for i in range(len(q)):
-        v = exact[i, best[i]]
-        some = best[i][v > -np.inf]
-        yield int(query_ids[i]), ids[cols[i, some]], exact[i, some]
+        cols = np.flatnonzero(may[i])
+        exact = np.einsum("rd,d->r", x[cols], q[i])
+        best = np.argsort(-exact, kind="stable")[:k]
+        yield int(query_ids[i]), ids[cols[best]], exact[best]
 
 
 def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probe: float = PROBE, sample: int = SAMPLE) -> DataFrame:
