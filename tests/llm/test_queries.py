@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftgraph.llm import queries
-from weftgraph.llm.simhash import simhash_groups
 
-from .helpers import odd_docs
+from .helpers import components, odd_docs, pairs
+from .test_shingles import exact, jaccard
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -74,9 +74,10 @@ def test_stages_take_effect(spark, sf_dir, tmp_path):
         assert name == "packing" or docs.columns == start.columns
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
     assert ids(kept["toxicity"]) < ids(start) and len(ids(kept["toxicity"])) > 0.85 * start.count()
-    groups = simhash_groups(kept["toxicity"])
-    assert ids(kept["near_duplicates"]) == ids(groups.filter("doc_id = component_id"))
-    assert kept["near_duplicates"].count() == groups.select("component_id").distinct().count()
+    rows = [(r["doc_id"], exact(r["text"])) for r in kept["toxicity"].collect()]
+    links = [(rows[a][0], rows[b][0]) for a, b in pairs(len(rows)) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
+    assert ids(kept["near_duplicates"]) == set(components([i for i, _ in rows], links).values())
+    assert kept["near_duplicates"].count() == len(ids(kept["near_duplicates"]))
     assert ids(kept["personal_data"]) == ids(kept["near_duplicates"])
     assert kept["personal_data"].filter(F.col("text").rlike(r"[\w.+-]+@[\w-]+\.\w")).count() == 0
     assert kept["personal_data"].filter("n_chars <> length(text)").count() == 0

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from weftgraph.llm import shingles
+from weftgraph.llm import simhash
 
 from .helpers import components, pairs
 
@@ -38,9 +38,9 @@ def planted():
     return rows + [(doc + 2, None), (doc + 3, " "), (doc + 4, "short text"), (doc + 5, "Short  TEXT"), (doc + 6, "short words")]
 
 
-@pytest.mark.parametrize("tile", [256, 3])
+@pytest.mark.parametrize("tile", [2048, 3])
 def test_stage_reaches_similarity(spark, sf_dir, monkeypatch, tile):
-    monkeypatch.setattr(shingles, "TILE", tile)
+    monkeypatch.setattr(simhash, "SETS", tile)
     rows = planted()
     sets = {i: exact(t) for i, t in rows}
     near = [(rows[a][0], rows[b][0]) for a, b in pairs(len(rows)) if jaccard(sets[rows[a][0]], sets[rows[b][0]]) >= 0.8]
@@ -52,11 +52,11 @@ def test_stage_reaches_similarity(spark, sf_dir, monkeypatch, tile):
 
 
 def test_large_group_and_driver_table(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(shingles, "TILE", 8)
+    monkeypatch.setattr(simhash, "SETS", 8)
     base = [f"v{k}" for k in range(300)]
     near = [(k, " ".join([*base[:150], f"only{k}", *base[151:]])) for k in range(60)]
-    assert [r["doc_id"] for r in shingles.drop_similar(spark.createDataFrame(near, "doc_id long, text string")).collect()] == [0]
+    assert [r["doc_id"] for r in simhash.drop_similar(spark.createDataFrame(near, "doc_id long, text string")).collect()] == [0]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r["doc_id"], exact(r["text"])) for r in docs.select("doc_id", "text").collect()]
     links = [(rows[a][0], rows[b][0]) for a, b in pairs(len(rows)) if jaccard(rows[a][1], rows[b][1]) >= 0.8]
-    assert {r["doc_id"] for r in shingles.drop_similar(docs).collect()} == set(components([i for i, _ in rows], links).values())
+    assert {r["doc_id"] for r in simhash.drop_similar(docs).collect()} == set(components([i for i, _ in rows], links).values())

@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftgraph.llm import simhash
-from weftgraph.llm.components import Forest, connected_components, label
+from weftgraph.llm.components import Forest, connected_components, grow, label
 
 from .helpers import DOCS, components, odd_docs, pairs
 
@@ -33,8 +33,9 @@ def test_fingerprint_equals_sparks_hash(spark):
     assert simhash.fingerprint("one two three") == row["h"] % 2**64
 
 
-@pytest.mark.parametrize("radius,n", [(3, 600), (1, 300), (5, 300)])
-def test_links_equal_brute_force(spark, radius, n):
+@pytest.mark.parametrize("radius,n,dense", [(3, 600, 48), (3, 300, 2), (1, 300, 48), (5, 300, 48)])
+def test_links_equal_brute_force(spark, monkeypatch, radius, n, dense):
+    monkeypatch.setattr(simhash, "DENSE", dense)
     r = random.Random(radius)
     fps = [r.getrandbits(64) for _ in range(n)]
     for base in fps[:60]:
@@ -78,6 +79,54 @@ def test_thresholds_fulfil_the_pigeonhole():
     assert simhash.plan(np.empty(0, np.uint64), 0, 3)
 
 
+def test_plan_misses_few_pairs():
+    rng = np.random.default_rng(1)
+    p = simhash.bit_difference(0.8)
+    for rows in (0, 10**5, 10**9):
+        chosen = simhash.plan_similar(rng.integers(0, 2**64, (500 if rows else 0, 4), dtype=np.uint64), rows, 0.8)
+        positions = [b for part, _ in chosen for b in part]
+        assert len(positions) == len(set(positions)) and max(positions) < 256
+        flips = rng.random((20_000, 256)) < p
+        met = np.zeros(20_000, bool)
+        for part, t in chosen:
+            met |= flips[:, part].sum(axis=1) <= t
+        assert (~met).mean() <= 2 * simhash.MISS
+
+
+def test_turned_bits_meet_within_the_threshold():
+    for t in range(5):
+        mine, theirs = t // 2, t - t // 2
+        assert mine + theirs == t and simhash.keys_of(10, t) == sum(1 for k in range(1 << 10) if k.bit_count() <= theirs)
+
+
+def test_wide_fingerprints_differ_by_similarity():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    for shared, similarity in ((2667, 0.8), (2850, 0.905)):
+        b = np.concatenate([a[:shared], rng.integers(0, 2**64, 3000 - shared, dtype=np.uint64)])
+        x, y = simhash.wide_fingerprint(a, 64), simhash.wide_fingerprint(b, 64)
+        assert abs(simhash.distance(x, y) / (64 * 64) - simhash.bit_difference(similarity)) < 0.02
+
+
+def test_dense_groups_cost_few_questions():
+    asked = []
+    x = np.zeros(500)
+    x[490:] = np.arange(1, 11)  # ten rows that link with nothing
+
+    def near(i):
+        asked.append(i)
+        return x == x[i]
+
+    root = grow(500, near)
+    assert (root[:490] == 0).all() and (root[490:] == np.arange(490, 500)).all() and len(asked) == 11
+    rng = np.random.default_rng(2)
+    for n in (1, 40, 200):
+        m = rng.random((n, n)) < 1.2 / n
+        m |= m.T
+        i, j = np.nonzero(m)
+        assert (grow(n, lambda k: m[k].copy()) == label(n, i, j)).all()
+
+
 def test_groups_of_odd_rows(spark):
     docs = odd_docs(spark)
     rows = simhash.simhash_groups(docs).collect()

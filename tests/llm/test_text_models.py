@@ -207,3 +207,74 @@ def test_common_ngrams_are_spread_and_counted_once(spark):
     got = {r["doc_id"]: r["log_score"] for r in lm_score.score_documents(docs).collect()}
     for k, (_, s) in brute_scores([(k, f"of the w{k} of the") for k in range(300)], [f"of the w{k} of the" for k in range(300)], 1).items():
         assert got[k] == pytest.approx(s)
+
+
+def plain_score(model, text):
+    """Windows, words and n-grams one by one."""
+    words = []
+    for w in re.findall(r"\w+", (text or "").lower()):
+        if w not in words:
+            words.append(w)
+    value = {}
+    for w in words:
+        bucket, _ = toxicity.word_grams([w])
+        value[w] = sum(float(model.gram[b]) for b in bucket) / len(bucket)
+    starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if words else []
+    best = max((sum(value[w] for w in words[s : s + toxicity.WINDOW]) / max(len(words[s : s + toxicity.WINDOW]), toxicity.LEAST) for s in starts), default=0.0)
+    return 1 / (1 + np.exp(-(best + model.bias)))
+
+
+def test_toxicity_scores_equal_a_plain_loop():
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BUCKET_BITS), -0.5)
+    r = random.Random(2)
+    texts = [None, "", "!?", "word", "Word WORD word", *(" ".join(r.choice(["ab", "abc", "xyzzy", "é", "über", f"w{r.randrange(500)}"]) for _ in range(n)) for n in (5, 15, 16, 17, 31, 32, 33, 48, 49, 400))]
+    assert np.allclose(model.score(texts, {}), [plain_score(model, t) for t in texts], rtol=1e-9)
+
+
+def test_toxicity_gradients_equal_differences():
+    rng = np.random.default_rng(6)
+    vocab = ["ab", "abc", "abd", "zz", "word", "wird", "ab"[::-1]]
+    grams = toxicity.Grams(vocab)
+    vec, soft, bias = rng.normal(0, 0.1, (1 << toxicity.BUCKET_BITS, toxicity.DIM)), rng.normal(0, 0.3, (toxicity.DIM, 2)), np.array([0.3, -0.2])
+    ids, n, y, weight = np.array([0, 1, 4, 2, 2, 5, 6, 3]), np.array([3, 1, 4]), np.array([1, 0, 1]), np.array([0.5, 1.0, 0.25])
+
+    def loss():
+        out, at = 0.0, 0
+        for k, size in enumerate(n):
+            mean = np.zeros(toxicity.DIM)
+            for w in ids[at : at + size]:
+                mean += vec[toxicity.word_grams([vocab[w]])[0]].mean(axis=0) / max(size, toxicity.LEAST)
+            z = toxicity.GAIN * (mean @ soft) + bias
+            out -= weight[k] * (z[y[k]] - np.log(np.exp(z).sum()))
+            at += size
+        return out
+
+    hit, g_vec, g_soft, g_bias = toxicity.gradients(vec, soft, bias, grams, ids, n, y, weight)
+    assert set(hit) == {b for w in set(ids.tolist()) for b in toxicity.word_grams([vocab[w]])[0]}
+    for array, at, want in [(vec, (hit[k], d), g_vec[k, d]) for k in range(0, len(hit), 3) for d in (0, 5)] + [(soft, (2, 1), g_soft[2, 1]), (bias, (0,), g_bias[0])]:
+        held = array[at]
+        array[at] = held + 1e-5
+        up = loss()
+        array[at] = held - 1e-5
+        down = loss()
+        array[at] = held
+        assert (up - down) / 2e-5 == pytest.approx(want, rel=1e-4, abs=1e-8)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text").join(labels, "doc_id"), labels).filter(toxicity.held_out(F.col("doc_id")))
+    got = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    # Some 360 toxic documents are there to learn from, an eighth of what training would take.
+    assert got.get((0, 1), 0) <= 0.02 * (got[0, 0] + got.get((0, 1), 0)) and got[1, 1] >= 0.65 * (got[1, 1] + got.get((1, 0), 0))
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "x" * 10) for k in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: seen.append((texts, y)))
+    toxicity.fit(docs, labels, chars=55)
+    toxicity.fit(docs, labels, per_class=3)
+    assert [y.count(1) for _, y in seen] == [5, 3] and [y.count(0) for _, y in seen] == [5, 3]

@@ -11,9 +11,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import materialize, shared_dir
+from ..plans.shared import delete, discard, keep, materialize, scratch, shared_dir
 
-__all__ = ["col", "discard", "fresh_path", "materialize", "per_process", "table"]
+__all__ = ["col", "delete", "discard", "fresh_path", "keep", "materialize", "per_process", "scratch", "table"]
 
 
 def col(name: str) -> Column:
@@ -26,15 +26,6 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a materialised table that is no longer read."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

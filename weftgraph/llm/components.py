@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,29 @@ def label(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def grow(n: int, near: Callable[[int], np.ndarray]) -> np.ndarray:
+    """Components of rows 0..n-1, as `label` gives them; near(i): which rows link with row i.
+
+    Rows are asked until all outside the largest component were: of two rows that were not, both
+    lie in it. So a dense group costs a question or two, not one for each of its rows.
+    """
+    root, asked = np.arange(n), np.zeros(n, bool)
+    at = 0
+    while True:
+        asked[at] = True
+        met = near(at)
+        met[at] = True
+        names = np.unique(root[met])
+        if len(names) > 1:
+            moved = np.zeros(n, bool)
+            moved[names] = True
+            root[moved[root]] = names[0]
+        open_ = np.flatnonzero(~asked & (root != np.bincount(root).argmax()))
+        if not len(open_):
+            return root
+        at = int(open_[0])
+
+
 class Forest:
     """Gathers links and keeps no more of them than a spanning forest needs."""
 

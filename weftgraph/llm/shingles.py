@@ -1,33 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
-
-MinHash bands find candidates: sets that agree on all ROWS values of one of BANDS bands. At a
-similarity of 0.8 a pair is in no common band with a probability of (1 - 0.8^5)^40, about
-1.3e-7, and less above. Candidates are only grouped (each member of a bucket with its smallest);
-inside a group all pairs are verified by exact Jaccard similarity.
-
-Only distinct shingle sets are joined, so exact copies cost nothing. A group of more than TILE
-sets is cut into chunks that are compared pairwise in tasks of their own; a task hands on a
-spanning forest of its links, not its pairs.
-"""
+"""Sets of word shingles and their exact Jaccard similarities."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._common import col, materialize
-from .components import Forest, connected_components, sorted_runs
-from .simhash import keep_first
+from .components import grow
 
-BANDS = 40
-ROWS = 5  # MinHash values of a band
-TILE = 256  # sets of a group that are compared in one task; larger groups are cut
-PIECE = 512  # shingles that are hashed by all functions at once
 POSTINGS = 1 << 20  # postings that are counted at once
 
 
@@ -47,26 +26,9 @@ def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(starts)))
 
 
-def multipliers(seed: int = 7) -> np.ndarray:
-    """Odd factors: each makes a permutation of the 64-bit hashes."""
-    return np.random.default_rng(seed).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """A key for each band of a set that is not empty."""
-    least = np.full(len(factors), ~np.uint64(0))
-    for k in range(0, len(hashes), PIECE):
-        np.minimum(least, (factors[:, None] * hashes[None, k : k + PIECE]).min(axis=1), out=least)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for part in least.reshape(BANDS, ROWS).T:
-        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
-
-
-def set_links(sets: list[np.ndarray], chunk: np.ndarray, cross: bool, similarity: float, forest: Forest, at: int) -> None:
-    """Adds the pairs of sets of at least the similarity to forest, at the rows from `at` on;
-    where cross is set only pairs of different chunks. No set is empty."""
+def set_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For sets 0..n-1, none of them empty, the smallest of each one's component of links of at
+    least the Jaccard similarity. Common elements are counted by the holders of each element."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -74,7 +36,8 @@ def set_links(sets: list[np.ndarray], chunk: np.ndarray, cross: bool, similarity
     holders = np.repeat(np.arange(n), sizes)[np.argsort(terms, kind="stable")]
     df = np.bincount(terms)
     first = np.cumsum(df) - df
-    for i in range(n - 1):
+
+    def near(i: int) -> np.ndarray:
         own = terms[bounds[i] : bounds[i + 1]]
         own = own[df[own] > 1]
         common = np.zeros(n, np.int64)
@@ -84,73 +47,6 @@ def set_links(sets: list[np.ndarray], chunk: np.ndarray, cross: bool, similarity
             lens = df[part]
             where = np.arange(lens.sum()) + np.repeat(first[part] - (np.cumsum(lens) - lens), lens)
             common += np.bincount(holders[where], minlength=n)
-        hit = common >= similarity * (sizes[i] + sizes - common) - 1e-9
-        hit[: i + 1] = False
-        if cross:
-            hit &= chunk != chunk[i]
-        j = np.flatnonzero(hit)
-        forest.add(np.full(len(j), at + i), at + j)
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs, with all their columns, of which one of each component stays: the one
-    with the smallest id (one without an id only if no other is there).
-
-    Rows link if the Jaccard similarity of their sets of `words`-word shingles is at least
-    `similarity` (0.8 or more; the bands are too few for less). Of repeated rows one stays. Null
-    texts and those without words are one component.
-    """
-    if similarity < 0.8:
-        raise ValueError("similarity: 0.8 or more")
-    factors = multipliers()
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, keys = [], []
-            for t in b["text"]:
-                s = shingle_set(t.as_py(), words)
-                nodes.append(xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0)
-                keys.append(band_keys(s, factors).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "keys"])
-
-    rows = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    own = materialize(rows.mapInArrow(sign, f"doc_id {kind}, text_hash long, node long, keys array<long>"), "shingles")
-    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash")))
-    distinct = materialize(own.groupBy("node").agg(low.alias("low"), F.first("keys").alias("keys")), "shingles-distinct")
-
-    bands = distinct.select("node", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("top"), F.count("*").alias("n")).filter("n > 1").select("key", "top")
-    near = connected_components(bands.join(shared, "key").filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")))
-    groups = materialize(near.union(near.select(F.col("root").alias("node"), "root").distinct()), "shingles-groups")
-
-    # One text of each set that is in a group, as a set again.
-    first = distinct.join(groups, "node").select("node", "root", F.col("low.doc_id").alias("first_id"), F.col("low.text_hash").alias("first_hash"))
-    asked = rows.join(first, (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "root", "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["node"], b["root"], pa.array([shingle_set(t.as_py(), words).tobytes() for t in b["text"]], pa.binary())], ["node", "root", "hashes"])
-
-    sets = materialize(asked.dropDuplicates(["node"]).mapInArrow(cut, "node long, root long, hashes binary"), "shingles-sets")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / TILE).cast("int").alias("chunks"))
-    tiled = sets.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = tiled.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "hashes")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in sorted_runs(batches, ["root", "i", "j"], least=1024):
-            node, chunk, i, j = (t[c].to_numpy() for c in ("node", "own", "i", "j"))
-            held = [np.frombuffer(h.as_buffer(), np.uint64) for h in t["hashes"]]
-            forest = Forest(len(node))
-            ends = np.flatnonzero(np.diff(group, append=group[-1] + 1)) + 1
-            for a, b in zip([0, *ends[:-1]], ends):
-                if b - a > 1:
-                    set_links(held[a:b], chunk[a:b], bool(i[a] != j[a]), similarity, forest, int(a))
-            x, y = forest.star()
-            yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
+        return common >= similarity * (sizes[i] + sizes - common) - 1e-9
 
-    met = tiled.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    roots = connected_components(met.mapInArrow(verify, "a long, b long")).withColumnRenamed("node", "member")
-    placed = distinct.join(roots, F.col("node") == F.col("member"), "left").select("low", F.coalesce("root", "node").alias("root"))
-    return keep_first(docs, placed, id_col, text_col)
+    return grow(n, near)

@@ -1,20 +1,28 @@
 """SimHash near-duplicates by a generalised pigeonhole join.
 
-Fingerprints within `radius` bits agree to within t_i bits on some part i of the 64 positions,
+Fingerprints within `radius` bits agree to within t_i bits on some part i of their positions,
 for any thresholds t_i >= -1 with sum(t_i) = radius - parts + 1 (a part of -1 is not probed).
 Correlated bits go to the same part; thresholds are allotted by dynamic programming on the
-estimated number of candidates and probes. Candidates of a bucket are verified on all 64 bits.
+estimated number of candidates and probes. Values within t bits of each other are met by turning
+at most t // 2 bits of the one and t - t // 2 of the other. Candidates of a bucket are verified
+on all positions.
+
+Fingerprints have one lane of 64 bits (`simhash_groups`, `drop_near_duplicates`: links by radius)
+or several (`drop_similar`: links by the similarity of shingle sets). In the latter, thresholds
+are raised until a pair of just that similarity is missed with a probability of at most MISS;
+what is met within `reach` bits is verified exactly, by the sets themselves.
 
 Only distinct fingerprints are joined, so exact copies cost nothing. A bucket hands on a
-spanning forest of its links, not its pairs; a bucket of more than TILE rows is cut into chunks
-that are compared pairwise in tasks of their own, so no bucket is capped.
+spanning forest of its links, not its pairs; in a dense bucket few rows are compared with all. A
+bucket of more than TILE rows is cut into chunks that are compared pairwise in tasks of their
+own, so no bucket is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, ceil, comb, pi, prod
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import col, materialize
-from .components import Forest, connected_components, sorted_runs
+from .components import Forest, connected_components, grow, sorted_runs
+from .shingles import set_links, shingle_set
 
-BITS = 64
+BITS = 64  # of a lane
+LANES = 4  # of the fingerprints that find similar sets
+CHECKED = 2  # of these, lanes that a candidate is tried on before its sets are
 SAMPLE = 4096  # distinct fingerprints, at most, from which correlations and candidate counts are estimated
 TILE = 2048  # rows of a bucket that are compared in one task; larger buckets are cut
+DENSE = 48  # rows of a bucket from which on rows are asked one by one, not all pairs compared
 PIECE = 1 << 16  # hashes that are unpacked to bits at once
+MISS = 0.002  # probability, at most, that no part brings a pair of the least similarity together
+SETS = 2048  # shingle sets, about, that are verified in one task; larger groups are cut
+SET_BYTES = 32 << 20  # bytes of them
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -65,16 +81,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
+def wide_fingerprint(hashes: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """The lanes of a set of 64-bit hashes: each takes the majority of the bits of its own mix of them."""
+    out = np.zeros(lanes, np.uint64)
+    for lane in range(lanes):
+        counts = np.zeros(BITS, np.int64)
+        for k in range(0, len(hashes), PIECE):
+            h = (hashes[k : k + PIECE] ^ np.uint64(lane)) * (_MIX + np.uint64(2 * lane))
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[lane] = np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
+
+
 # -- the plan of parts and thresholds ------------------------------------------------------
 
 
+def positions(fps: np.ndarray) -> np.ndarray:
+    """The bits of fingerprints (rows x lanes) as numbers, rows x positions."""
+    return np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").astype(np.float64)
+
+
 def bit_parts(bits: np.ndarray, parts: int) -> list[list[int]]:
     """Positions in `parts` groups of nearly equal size, correlated ones together."""
-    x = bits - bits.mean(axis=0) if len(bits) else np.zeros((1, BITS))
+    width = bits.shape[1]
+    x = bits - bits.mean(axis=0) if len(bits) else np.zeros((1, width))
     scale = np.sqrt((x**2).sum(axis=0))
     scale[scale == 0] = 1
     near = np.abs(x.T @ x) / np.outer(scale, scale)
-    left, out = set(range(BITS)), []
+    left, out = set(range(width)), []
     for k in range(parts):
         size = len(left) // (parts - k)
         part = [min(left)]
@@ -97,8 +133,9 @@ def close_share(bits: np.ndarray, part: list[int], most: int) -> list[float]:
     seen = np.zeros(most + 1)
     if n > 1:
         d = (x.sum(axis=1)[:, None] + x.sum(axis=1)[None, :] - 2 * (x @ x.T)).round().astype(np.int64)
-        d = d[np.triu_indices(n, 1)]
-        seen = np.array([(d <= t).mean() for t in range(most + 1)])
+        count = np.bincount(d.ravel(), minlength=most + 1)[: most + 1]
+        count[0] -= n
+        seen = np.cumsum(count) / (n * (n - 1))
     p = x.mean(axis=0) if n else np.full(len(part), 0.5)
     dist = np.array([1.0])
     for q in 2 * p * (1 - p):
@@ -106,35 +143,72 @@ def close_share(bits: np.ndarray, part: list[int], most: int) -> list[float]:
     return np.maximum(seen, np.cumsum(dist)[: most + 1]).tolist()
 
 
-def allot(cost: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """Thresholds t_i >= -1 of the given sum with the least sum of cost[i][t_i + 1]."""
+def allot(cost: list[list[float]], most: int) -> dict[int, tuple[float, list[int]]]:
+    """For each sum up to `most`, the thresholds t_i >= -1 of that sum with the least sum of cost[i][t_i + 1]."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for c in cost:
         new: dict[int, tuple[float, list[int]]] = {}
         for s, (v, ts) in best.items():
             for t in range(-1, len(c) - 1):
                 x = (v + c[t + 1], [*ts, t])
-                if s + t not in new or x < new[s + t]:
+                if s + t <= most and (s + t not in new or x < new[s + t]):
                     new[s + t] = x
         best = new
-    return best[total]
+    return best
+
+
+def keys_of(width: int, t: int) -> int:
+    """Keys by which a row is put into the buckets of a part."""
+    return sum(comb(width, k) for k in range(t - t // 2 + 1))
+
+
+def costs(bits: np.ndarray, groups: list[list[int]], rows: int, most: int) -> list[list[float]]:
+    """Of each part, the estimated work of thresholds -1 to `most`: comparisons, and rows that are
+    shuffled and sorted, each about 20 times a comparison."""
+    out = []
+    for g in groups:
+        share = close_share(bits, g, most)
+        out.append([0.0] + [rows * rows / 2.0 * share[t] + 20.0 * rows * keys_of(len(g), t) for t in range(most + 1)])
+    return out
 
 
 def plan(sample: np.ndarray, rows: int, radius: int) -> list[tuple[list[int], int]]:
-    """[(positions, threshold)] of least estimated work for `rows` distinct fingerprints."""
-    bits = ((sample[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float64) if len(sample) else np.zeros((0, BITS))
+    """[(positions, threshold)] of least estimated work for `rows` distinct fingerprints, such
+    that all pairs within radius meet."""
+    bits = positions(sample.reshape(len(sample), -1)) if len(sample) else np.zeros((0, BITS))
     found = []
     for parts in range(2, 9):
         groups = bit_parts(bits, parts)
-        cost = []
-        for g in groups:
-            share = close_share(bits[:2048], g, radius)
-            probes = np.cumsum([comb(len(g), t) for t in range(radius + 1)])
-            # a probe is a row that is shuffled and sorted, about 20 times the work of a comparison
-            cost.append([0.0] + [rows * rows / 2.0 * share[t] + 20.0 * rows * (probes[t] + (t > 0)) for t in range(radius + 1)])
         need = radius - parts + 1
         if need >= -parts:
-            found.append((*allot(cost, need), groups))
+            found.append((*allot(costs(bits[:2048], groups, rows, radius), radius)[need], groups))
+    _, ts, groups = min(found, key=lambda x: x[0])
+    return [(g, t) for g, t in zip(groups, ts) if t >= 0]
+
+
+def bit_difference(similarity: float) -> float:
+    """The share of bits in which fingerprints of sets (of equal size) of a Jaccard similarity differ."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def missed(widths: list[int], thresholds: list[int], p: float) -> float:
+    """The probability that bits which differ with probability p are in no part within its threshold."""
+    return prod(1 - sum(comb(w, k) * p**k * (1 - p) ** (w - k) for k in range(t + 1)) for w, t in zip(widths, thresholds))
+
+
+def plan_similar(sample: np.ndarray, rows: int, similarity: float, lanes: int = LANES) -> list[tuple[list[int], int]]:
+    """[(positions, threshold)] of least estimated work, such that a pair of just the similarity
+    is missed with a probability of at most MISS; the more alike a pair, the less."""
+    width = BITS * lanes
+    bits = positions(sample.reshape(len(sample), lanes))[:1024] if len(sample) else np.zeros((0, width))
+    p = bit_difference(similarity)
+    found = []
+    for parts in (8, 10, 12, 14, 16):
+        groups = bit_parts(bits, parts)
+        widths = [len(g) for g in groups]
+        table = allot(costs(bits, groups, rows, 4), 4 * parts)
+        good = [(*table[s], groups) for s in sorted(table) if missed(widths, table[s][1], p) <= MISS]
+        found += good
     _, ts, groups = min(found, key=lambda x: x[0])
     return [(g, t) for g, t in zip(groups, ts) if t >= 0]
 
@@ -143,65 +217,93 @@ def plan(sample: np.ndarray, rows: int, radius: int) -> list[tuple[list[int], in
 
 
 def gather(fps: np.ndarray, part: list[int]) -> np.ndarray:
+    """The bits of a part of fingerprints (rows x lanes), as numbers."""
     out = np.zeros(len(fps), np.uint64)
     for k, b in enumerate(part):
-        out |= ((fps >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
+        out |= ((fps[:, b // BITS] >> np.uint64(b % BITS)) & np.uint64(1)) << np.uint64(k)
     return out
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def close_links(group: np.ndarray, fps: np.ndarray, role: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of rows of one group within radius; one of them a datum."""
+    """A spanning forest of the pairs of rows of one group within radius. Pairs of rows that both
+    came by more than half of the turned bits meet elsewhere too, and may be left out."""
     forest, n = Forest(len(fps)), len(fps)
-    at, lag = np.arange(n), 1
+    edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+    dense = np.zeros(n, bool)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b - a >= DENSE:
+            dense[a:b] = True
+            x = fps[a:b]
+            forest.add(np.arange(a, b), a + grow(b - a, lambda i: distance(x[i], x) <= radius))
+    at, lag = np.flatnonzero(~dense), 1
     while True:
         at = at[: np.searchsorted(at, n - lag)]
         at = at[group[at] == group[at + lag]]
         if not len(at):
             return forest.star()
-        d = np.bitwise_count(fps[at] ^ fps[at + lag])
+        d = distance(fps[at], fps[at + lag])
         hit = at[(d <= radius) & (d > 0) & ((role[at] == 0) | (role[at + lag] == 0))]
         forest.add(hit, hit + lag)
         lag += 1
 
 
-def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """Links (a, b) that join the same fingerprints as all pairs within radius.
+def links_by_plan(distinct: DataFrame, chosen: list[tuple[list[int], int]], radius: int, lanes: int, checked: int = 1) -> DataFrame:
+    """Links (a, b) between nodes that meet in a bucket of the plan and whose first `checked`
+    lanes are within radius.
 
-    distinct: one long column fp without repeats.
+    distinct: node (long) and the lanes of its fingerprint as long columns f0, f1, ...
     """
-    rows = distinct.count()
-    sample = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
-    chosen = plan(np.array(sample, np.int64).view(np.uint64), rows, radius)
+    every = [f"f{k}" for k in range(lanes)]
+    names = every[:checked]
+
+    def stacked(b: pa.RecordBatch | pa.Table, columns: list[str]) -> np.ndarray:
+        return np.stack([b[c].to_numpy().view(np.uint64) for c in columns], axis=1)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            whole = b["fp"].to_numpy().view(np.uint64)
-            for s in range(0, len(whole), 4096):
-                fps = whole[s : s + 4096]
+        for whole in batches:
+            for s in range(0, whole.num_rows, 4096):
+                b = whole.slice(s, 4096)
+                fps = stacked(b, every)
                 for k, (part, t) in enumerate(chosen):
                     value = gather(fps, part)
-                    for flips in range(t + 1):
+                    for flips in range(t - t // 2 + 1):
+                        role = pa.array(np.full(len(fps), int(flips > t // 2), np.int32))
                         for bits in combinations(range(len(part)), flips):
                             mask = np.uint64(sum(1 << x for x in bits))
                             key = ((value ^ mask) | np.uint64(k << 56)).view(np.int64)
-                            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps.view(np.int64)), pa.array(np.full(len(fps), int(flips > 0), np.int32))], ["key", "fp", "role"])
+                            yield pa.RecordBatch.from_arrays([pa.array(key), b["node"], *(b[c] for c in names), role], ["key", "node", *names, "role"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in sorted_runs(batches, ["key", "i", "j"]):
-            fps = t["fp"].to_numpy()
-            a, b = close_links(group, fps.view(np.uint64), t["role"].to_numpy(), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], ["a", "b"])
+            node = t["node"].to_numpy()
+            a, b = close_links(group, stacked(t, names), t["role"].to_numpy(), radius)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
-    # Probes need more bits than 56 only for one part of all positions, which plan() never makes.
-    probes = distinct.select("fp").mapInArrow(probe, "key long, fp long, role int")
+    # Parts of more than 56 positions, whose keys would not fit, are in no plan.
+    probes = distinct.select("node", *every).mapInArrow(probe, "key long, node long, " + "".join(f"{c} long, " for c in names) + "role int")
     large = probes.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
     chunks = F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int")
-    tiled = probes.join(large, "key", "left").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    tiled = probes.join(large, "key", "left").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = tiled.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "role")
+    tiled = tiled.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *names, "role")
     return tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(verify, "a long, b long")
 
 
+def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+    """Links (a, b) that join the same fingerprints as all pairs within radius.
+
+    distinct: one long column fp without repeats.
+    """
+    rows = distinct.count()
+    sample = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
+    chosen = plan(np.array(sample, np.int64).view(np.uint64), rows, radius)
+    return links_by_plan(distinct.select(F.col("fp").alias("node"), F.col("fp").alias("f0")), chosen, radius, 1)
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """The fingerprinted rows, and for each fingerprint its component's root and the first row
     (by id, rows without one last) of those that have it."""
@@ -242,3 +344,84 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stays. Null and empty texts are one component."""
     _, placed = _placed(docs, id_col, text_col, words, radius)
     return keep_first(docs, placed, id_col, text_col)
+
+
+# -- similar shingle sets ------------------------------------------------------------------
+
+
+def similar_links(distinct: DataFrame, similarity: float, lanes: int = LANES) -> DataFrame:
+    """Links between nodes whose fingerprints let them be of the similarity (four standard
+    deviations are allowed for). distinct: as for links_by_plan."""
+    names = [f"f{k}" for k in range(lanes)]
+    rows = distinct.count()
+    some = distinct.orderBy(F.xxhash64("node")).limit(SAMPLE).select(*names).collect()
+    sample = np.array([list(r) for r in some], np.int64).reshape(-1, lanes).view(np.uint64)
+    p, width = bit_difference(similarity), BITS * CHECKED
+    reach = ceil(width * p + 4 * (width * p * (1 - p)) ** 0.5)
+    return links_by_plan(distinct, plan_similar(sample, rows, similarity, lanes), reach, lanes, CHECKED)
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each component stays: the one
+    with the smallest id (one without an id only if no other is there).
+
+    Rows link if the Jaccard similarity of their sets of `words`-word shingles is at least
+    `similarity` (0.5 or more) and the pigeonhole join of their fingerprints brings them
+    together, which it fails to do with a probability of MISS at that similarity and less above.
+    No pair below it links. Of repeated rows one stays. Null texts and those without words are
+    one component; very long texts count whole. An empty table gives an empty result; other
+    columns are carried, whatever their names.
+    """
+    if not 0.5 <= similarity <= 1:
+        raise ValueError("similarity: 0.5 to 1")
+    lanes = [f"f{k}" for k in range(LANES)]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, fps, sizes = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, LANES), np.uint64), np.zeros(b.num_rows, np.int64)
+            for i, t in enumerate(b["text"]):
+                s = shingle_set(t.as_py(), words)
+                if len(s):
+                    nodes[i], fps[i], sizes[i] = xxhash.xxh64_intdigest(s.tobytes()), wide_fingerprint(s), len(s)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(nodes.view(np.int64)), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(LANES)), pa.array(sizes)], ["doc_id", "text_hash", "node", *lanes, "size"])
+
+    rows = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    own = materialize(rows.mapInArrow(sign, f"doc_id {kind}, text_hash long, node long, " + "".join(f"{c} long, " for c in lanes) + "size long"), "shingles")
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash")))
+    distinct = materialize(own.groupBy("node").agg(low.alias("low"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in lanes]), "shingles-distinct")
+    near = connected_components(similar_links(distinct.filter("size > 0"), similarity))
+    groups = materialize(near.union(near.select(F.col("root").alias("node"), "root").distinct()), "shingles-groups")
+
+    # One text of each set that is in a group, as a set again.
+    first = distinct.join(groups, "node").select("node", "root", F.col("low.doc_id").alias("first_id"), F.col("low.text_hash").alias("first_hash"))
+    asked = rows.join(first, (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "root", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                part = b.slice(s, 256)
+                yield pa.RecordBatch.from_arrays([part["node"], part["root"], pa.array([shingle_set(t.as_py(), words).tobytes() for t in part["text"]], pa.binary())], ["node", "root", "hashes"])
+
+    sets = materialize(asked.dropDuplicates(["node"]).mapInArrow(cut, "node long, root long, hashes binary"), "shingles-sets")
+    sizes = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum(F.length("hashes")) / SET_BYTES)).cast("int").alias("chunks"))
+    tiled = sets.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiled = tiled.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "hashes")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in sorted_runs(batches, ["root", "i", "j"], least=512):
+            node = t["node"].to_numpy()
+            forest = Forest(len(node))
+            edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges[:-1], edges[1:]):
+                if b - a > 1:
+                    held = [np.frombuffer(h.as_buffer(), np.uint64) for h in t["hashes"].slice(a, b - a)]
+                    forest.add(np.arange(a, b), a + set_links(held, similarity))
+            x, y = forest.star()
+            yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
+
+    met = tiled.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    roots = connected_components(met.mapInArrow(verify, "a long, b long")).withColumnRenamed("node", "member")
+    placed = distinct.join(roots, F.col("node") == F.col("member"), "left").select("low", F.coalesce("root", "node").alias("root"))
+    return keep_first(docs, placed, id_col, text_col)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import col, materialize
@@ -32,6 +32,7 @@ STRIDE = 16
 LEAST = 16  # a window of fewer words is averaged as if neutral words filled it up to so many
 GAIN = 30.0  # of the softmax over means, so that one word of a window can tip it
 SAMPLE_PER_CLASS = 3000  # labelled documents of each class that training takes, at most
+SAMPLE_CHARS = 32_000_000  # characters of them, at most
 EPOCHS = 20
 CACHE = 400_000  # words whose scores a task keeps at hand
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -119,6 +120,47 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -500, 500)))
 
 
+class Grams:
+    """The n-grams of a vocabulary: their buckets in word order, and where each word's begin."""
+
+    def __init__(self, words: list[str]):
+        found = [word_grams(words[k : k + 10_000]) for k in range(0, len(words), 10_000)] or [word_grams([])]
+        self.bucket = np.concatenate([b.astype(np.int32) for b, _ in found])
+        self.size = np.concatenate([np.diff(o) for _, o in found])
+        self.start = np.cumsum(self.size) - self.size
+
+    def scores(self, line: np.ndarray) -> np.ndarray:
+        """Of each word, the mean of line over its n-grams."""
+        return np.concatenate([np.add.reduceat(line[self.bucket[a:b]], self.start[k : k + 50_000] - a) / self.size[k : k + 50_000] for k, a, b in self._pieces()] or [np.empty(0)])
+
+    def _pieces(self) -> list[tuple[int, int, int]]:
+        ends = self.start + self.size
+        return [(k, int(self.start[k]), int(ends[min(k + 50_000, len(ends)) - 1])) for k in range(0, len(ends), 50_000)]
+
+
+def gradients(vec: np.ndarray, soft: np.ndarray, bias: np.ndarray, grams: Grams, ids: np.ndarray, n: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the weighted cross entropy of windows (of n[k] words each, one after the other in ids):
+    the buckets met, their gradients, and those of softmax and bias."""
+    by = np.maximum(n, LEAST)
+    own, inv = np.unique(ids, return_inverse=True)
+    size = grams.size[own]
+    at = grams.bucket[ragged(grams.start[own], size)]
+    cut = np.cumsum(size) - size
+    word = np.add.reduceat(vec[at], cut, axis=0) / size[:, None]
+    mean = np.add.reduceat(word[inv], np.cumsum(n) - n, axis=0) / by[:, None]
+    logit = GAIN * (mean @ soft) + bias
+    p = np.exp(logit - logit.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    err = (p - np.eye(2)[y]) * weight[:, None]
+    g_mean = GAIN * err @ soft.T / by[:, None]
+    spread = np.repeat(g_mean, n, axis=0)
+    each = np.stack([np.bincount(inv, spread[:, d], len(own)) for d in range(DIM)], axis=1) / size[:, None]
+    flow = np.repeat(each, size, axis=0)
+    hit, back = np.unique(at, return_inverse=True)
+    g_vec = np.stack([np.bincount(back, flow[:, d], len(hit)) for d in range(DIM)], axis=1)
+    return hit, g_vec, GAIN * mean.T @ err, err.sum(axis=0)
+
+
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = 3) -> Model:
     """Fit n-gram vectors and softmax jointly (Adagrad on cross entropy). In each epoch every
     document is represented by its worst window so far and by a random one (of a clean
@@ -129,18 +171,16 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
     rng = np.random.default_rng(seed)
     vocab: dict[str, int] = {}
     docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32) for t in texts]
-    bucket, offsets = word_grams(list(vocab))
-    bucket = bucket.astype(np.int32)
-    size = np.diff(offsets)
-    grams = 1 << BUCKET_BITS
-    vec = rng.normal(0, 0.1, (grams, DIM)).astype(np.float32)
+    grams = Grams(list(vocab))
+    del vocab
+    buckets = 1 << BUCKET_BITS
+    vec = rng.normal(0, 0.1, (buckets, DIM)).astype(np.float32)
     soft = rng.normal(0, 0.3, (DIM, 2))
     bias = np.array([1.0, -1.0])
-    seen, seen_soft, seen_bias = np.full((grams, DIM), 1e-6, np.float32), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
+    seen, seen_soft, seen_bias = np.full((buckets, DIM), 1e-6, np.float32), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     weight = np.where(y_all == 1, 0.5 / max(1, (y_all == 1).sum()), 0.5 / max(1, (y_all == 0).sum())) * len(y_all)
     for epoch in range(epochs):
-        line = vec @ (soft[:, 1] - soft[:, 0]).astype(np.float32)
-        score = np.add.reduceat(line[bucket], offsets[:-1]) / size
+        score = grams.scores(vec @ (soft[:, 1] - soft[:, 0]).astype(np.float32))
         picks = []
         for k, ids in enumerate(docs):
             a, b = window_bounds(len(ids))
@@ -155,25 +195,10 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
         rate = 0.25 * (1 - epoch / epochs) + 0.02
         for s in range(0, len(picks), 256):
             part = picks[s : s + 256]
-            ids = np.concatenate([docs[k][a:b] for k, a, b in part])
-            n = np.array([b - a for _, a, b in part])
-            by = np.maximum(n, LEAST)
-            y = y_all[[k for k, _, _ in part]]
-            own, inv = np.unique(ids, return_inverse=True)
-            at = bucket[ragged(offsets[own], size[own])]
-            cut = np.cumsum(size[own]) - size[own]
-            word = np.add.reduceat(vec[at], cut, axis=0) / size[own][:, None]
-            mean = np.add.reduceat(word[inv], np.cumsum(n) - n, axis=0) / by[:, None]
-            logit = GAIN * (mean @ soft) + bias
-            p = np.exp(logit - logit.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            err = (p - np.eye(2)[y]) * (weight[[k for k, _, _ in part]] / len(part))[:, None]
-            g_soft, g_bias, g_mean = GAIN * mean.T @ err, err.sum(axis=0), GAIN * err @ soft.T / by[:, None]
-            spread = np.repeat(g_mean, n, axis=0)
-            each = np.stack([np.bincount(inv, spread[:, d], len(own)) for d in range(DIM)], axis=1) / size[own][:, None]
-            flow = np.repeat(each, size[own], axis=0)
-            hit, back = np.unique(at, return_inverse=True)
-            g = np.stack([np.bincount(back, flow[:, d], len(hit)) for d in range(DIM)], axis=1) + 1e-6 * vec[hit]
+            who = [k for k, _, _ in part]
+            ids, n = np.concatenate([docs[k][a:b] for k, a, b in part]), np.array([b - a for _, a, b in part])
+            hit, g, g_soft, g_bias = gradients(vec, soft, bias, grams, ids, n, y_all[who], weight[who] / len(part))
+            g += 1e-6 * vec[hit]
             seen[hit] += g**2
             vec[hit] -= (rate * g / np.sqrt(seen[hit])).astype(np.float32)
             seen_soft += g_soft**2
@@ -188,9 +213,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Train on at most per_class labelled documents of each class, chosen by a hash of the id,
-    that are not held out. A document labelled twice is toxic if any label says so; of rows that
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS, chars: int = SAMPLE_CHARS) -> Model:
+    """Train on at most per_class labelled documents of each class, of at most `chars` characters
+    together, in the order of a hash of the id, that are not held out. A document labelled twice is toxic if any label says so; of rows that
     share an id the smallest text counts."""
     marks = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
     marks = marks.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -198,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = materialize(first[0].union(first[1]), "toxicity-sample")
     rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
     some = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-    got = some.collect()  # a row for each of at most 2 * per_class ids
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    got = some.withColumn("so_far", so_far).filter(F.col("so_far") <= chars).drop("so_far").collect()  # at most 2 * per_class rows
     got = sorted({(r["id"], r["text"] or "", r["y"]) for r in got})
     return train([t for _, t, _ in got], [y for _, _, y in got])
 
@@ -206,8 +232,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, score_name: str = "score", predicted_name: str = "predicted", model: Model | None = None) -> DataFrame:
     """docs with the score (0 to 1) and predicted (1 if score >= threshold, else 0).
 
-    Null and texts without words get the model's score of no words, which is low. Input columns
-    named like the outputs are replaced; repeated rows are scored alike. Without any usable
+    Null and texts without words get the model's score of no words, which is low; very long texts
+    are scored whole, by all their windows. Input columns named like the outputs are replaced;
+    repeated rows are scored alike; an empty table gives an empty result. Without any usable
     label, or with one class only, all scores are one constant.
     """
     model = model or fit(docs, labels, id_col, text_col, label_col)
