@@ -198,15 +198,23 @@ def test_scores_equal_brute_force(spark, own, least):
     assert lm_score.score_documents(docs.limit(0)).collect() == []
 
 
-def test_common_ngrams_are_spread_and_counted_once(spark):
-    docs = spark.createDataFrame([(k, f"of the w{k} of the", "en", "s", 1) for k in range(300)], DOCS)
-    common = lm_score.common_ngrams(docs, "doc_id", "text")[1]
-    assert len(common) == 2
-    rows = lm_score.unigrams(docs, "doc_id", "text", common)
-    assert rows.filter("salt > 0").select("key", "salt").distinct().count() > 60
-    got = {r["doc_id"]: r["log_score"] for r in lm_score.score_documents(docs).collect()}
-    for k, (_, s) in brute_scores([(k, f"of the w{k} of the") for k in range(300)], [f"of the w{k} of the" for k in range(300)], 1).items():
-        assert got[k] == pytest.approx(s)
+@pytest.mark.parametrize("chunk,entries", [(3, 1_000_000), (200_000, 7), (50, 40)])
+def test_chunks_and_partitions_change_nothing(spark, monkeypatch, chunk, entries):
+    monkeypatch.setattr(lm_score, "CHUNK", chunk)
+    monkeypatch.setattr(lm_score, "ENTRIES", entries)
+    rows = [(k, f"of the w{k} of the" if k % 7 else "") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 2):
+        got = {r["doc_id"]: r["log_score"] for r in lm_score.score_documents(docs, min_count=least).collect()}
+        for k, (_, s) in brute_scores(rows, [t for _, t in rows], least).items():
+            assert got[k] == pytest.approx(s)
+
+
+def test_frequent_ngrams_come_once_a_chunk(spark):
+    docs = spark.createDataFrame([(k, "of the " * 50 + f"w{k}") for k in range(300)], "doc_id long, text string").coalesce(1)
+    rows = lm_score.exploded(lm_score.chunks_of(docs, "doc_id", "text"), 2, 4, True, True).selectExpr("explode(arrays_zip(keys, n)) AS x").select("x.*")
+    most = rows.groupBy("keys").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).orderBy(F.desc("n")).first()
+    assert most["n"] == 300 * 50 and most["rows"] == 1
 
 
 def plain_score(model, text):

@@ -6,36 +6,31 @@ and c(w) / N for the first word; a word that the table lacks counts `unseen` tim
 runs of other characters than ASCII white space, with A-Z lower-cased. The score of a document
 is the sum of ln S over its words.
 
-The logarithm parts the score into sums that each need one count table only:
-
-    sum ln S = sum over pairs ln c(v w) - sum over contexts ln c(v) + ln c(first) - ln N
-
-so each order is one pass: n-grams (a 64-bit hash each) are exploded and partitioned by hash
-once, counted there, joined to their counts where they lie, and summed per document. N-grams that
-a look at some documents shows to be common are dealt over SALTS partitions each, and their counts
-put together; a common one that the look missed only makes its partition larger. Only pairs that
-the table lacks go on, with their words, to a third join that puts the backed-off score in place
-of what the first two sums took for them.
+Texts are cut into chunks of some CHUNK words (a longer document is a chunk of its own). A chunk
+explodes into its distinct n-grams (a 64-bit hash each) and their numbers, one row for each hash
+partition, whose n-grams stand in an array. So an n-gram that every document holds comes once a
+chunk: it is counted before its shuffle, and no partition is hot. Partitions are as many as it
+takes to hold about ENTRIES n-grams each; one sums its n-grams to its part of the count table,
+joins the table to what came and sends each row the counts back, in the order of the row's
+n-grams. A chunk meets its word and pair counts by its number and sums ln S for each document.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import col, materialize
+from ._common import col, discard, materialize
 
-ROWS = 200_000  # n-grams that are handed to Spark at once
-SALTS = 64  # partitions that share a common n-gram
-LOOK = 2000  # documents, about, that are looked at for common n-grams
-COMMON = 0.02  # share of them in which a common n-gram occurs
-MOST_COMMON = 5000  # n-grams that are dealt so, at most; their counts are broadcast
+CHUNK = 200_000  # words of a chunk
+ENTRIES = 1_000_000  # n-grams of chunks that meet in one partition
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,167 +44,160 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _exploded(docs: DataFrame, id_col: str, text_col: str, rows_of: Callable[[np.ndarray], dict[str, np.ndarray]], schema: list[str], common: np.ndarray | None = None) -> DataFrame:
-    """One row (doc_id, salt, what rows_of makes of a document's word hashes) per n-gram. The salt
-    is 0 but for n-grams of the sorted array `common`."""
+def chunks_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Chunks of documents: their ids and sizes in words, the hashes of their distinct words, and
+    for each word in its place (at: little-endian unsigned numbers of 2 or 4 bytes) which it is."""
     rows = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    common = np.empty(0, np.int64) if common is None else common
+    field = rows.schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held: list[dict[str, np.ndarray]] = []
-            owners: list[int] = []
-            sizes: list[int] = []
-            total = 0
-
-            def flush() -> pa.RecordBatch:
-                at = np.repeat(owners, sizes)
-                made = {c: np.concatenate([h[c] for h in held]) for c in schema}
-                salt = np.zeros(len(at), np.int32)
-                if len(common):
-                    place = np.minimum(np.searchsorted(common, made["key"]), len(common) - 1)
-                    salt = np.where(common[place] == made["key"], 1 + at % SALTS, 0).astype(np.int32)
-                return pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(at)), pa.array(salt), *(pa.array(made[c], pa.int64()) for c in schema)], names=["doc_id", "salt", *schema])
-
-            for i, text in enumerate(t for s in range(0, b.num_rows, 500) for t in b["text"].slice(s, 500).to_pylist()):
-                found = words_of(text)
-                if found:
-                    made = rows_of(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
-                    held.append(made)
-                    owners.append(i)
-                    sizes.append(len(made["key"]))
-                    total += sizes[-1]
-                    if total >= ROWS:
-                        yield flush()
-                        held, owners, sizes, total = [], [], [], 0
-            if held:
-                yield flush()
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, salt int, " + ", ".join(f"{c} long" for c in schema))
-
-
-def _one(h: np.ndarray) -> dict[str, np.ndarray]:
-    """Distinct words. code: four times their number, plus 2 for the last word, 1 for the first."""
-    ordered = np.sort(h)
-    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    key = ordered[at]
-    code = 4 * np.diff(at, append=len(h))
-    code[np.searchsorted(key, h[-1])] += 2
-    code[np.searchsorted(key, h[0])] += 1
-    return {"key": key.view(np.int64), "code": code}
-
-
-def _two(h: np.ndarray) -> dict[str, np.ndarray]:
-    """Distinct pairs and their numbers."""
-    ordered = np.sort(pair_hash(h[:-1], h[1:]))
-    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
-    return {"key": ordered[at].view(np.int64), "n": np.diff(at, append=len(ordered))}
-
-
-def _two_words(h: np.ndarray) -> dict[str, np.ndarray]:
-    """Pairs with their words, each with its number, in the first of its places."""
-    key, first, n = np.unique(pair_hash(h[:-1], h[1:]), return_index=True, return_counts=True)
-    return {"key": key.view(np.int64), "n": n, "v": h[:-1][first].view(np.int64), "w": h[1:][first].view(np.int64)}
-
-
-def unigrams(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray | None = None) -> DataFrame:
-    return _exploded(docs, id_col, text_col, _one, ["key", "code"], common)
-
+            held: list[np.ndarray] = []
+            start = total = 0
+            for i in range(b.num_rows):
+                found = words_of(b["text"][i].as_py())
+                held.append(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
+                total += len(found)
+                if total >= CHUNK or i == b.num_rows - 1:
+                    words, at = np.unique(np.concatenate(held), return_inverse=True)
+                    ids = pa.ListArray.from_arrays(pa.array([0, i + 1 - start], pa.int32()), b["doc_id"].slice(start, i + 1 - start))
+                    at = at.astype("<u2" if len(words) <= 1 << 16 else "<u4").tobytes()
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([[len(h) for h in held]], pa.list_(pa.int64())), pa.array([words.view(np.int64)], pa.list_(pa.int64())), pa.array([at], pa.binary())], names=["ids", "sizes", "words", "at"])
+                    held, start, total = [], i + 1, 0
+
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("ids", T.ArrayType(field.dataType)), T.StructField("sizes", longs), T.StructField("words", longs), T.StructField("at", T.BinaryType())])
+    return rows.mapInArrow(run, schema).withColumn("chunk", F.monotonically_increasing_id())
+
+
+class Chunk:
+    """A chunk's words in their places, and the places of its pairs' first words."""
+
+    def __init__(self, words: np.ndarray, at: bytes, sizes: np.ndarray):
+        self.words = words.view(np.uint64)
+        self.at = np.frombuffer(at, "<u2" if len(words) <= 1 << 16 else "<u4").astype(np.int64)
+        self.sizes = sizes
+        self.ends = np.cumsum(sizes)
+        inner = np.ones(len(self.at), bool)
+        inner[self.ends[sizes > 0] - 1] = False
+        self.first = np.flatnonzero(inner)
+
+    def ngrams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sorted distinct n-grams of an order, which of them stands where, and their numbers."""
+        if order == 1:
+            return self.words, self.at, np.bincount(self.at, minlength=len(self.words))
+        hashes = self.words[self.at]
+        key, which = np.unique(pair_hash(hashes[self.first], hashes[self.first + 1]), return_inverse=True)
+        return key, which, np.bincount(which, minlength=len(key))
+
+
+def by_partition(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by partition, and the number of each partition's."""
+    part = ((key >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
+
+
+def exploded(chunks: DataFrame, order: int, parts: int, counted: bool, asking: bool) -> DataFrame:
+    """part, chunk (null unless asking), keys and their numbers (0 unless counted)."""
 
-def bigrams(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray | None = None) -> DataFrame:
-    return _exploded(docs, id_col, text_col, _two, ["key", "n"], common)
-
-
-def bigrams_with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return _exploded(docs, id_col, text_col, _two_words, ["key", "n", "v", "w"])
-
-
-def _one_and_two(h: np.ndarray) -> dict[str, np.ndarray]:
-    one, two = _one(h)["key"], _two(h)["key"]
-    return {"key": np.concatenate([one, two]), "order": np.repeat([1, 2], [len(one), len(two)])}
-
-
-def common_ngrams(docs: DataFrame, id_col: str, text_col: str) -> dict[int, np.ndarray]:
-    """By order, the sorted hashes of n-grams that occur in a share COMMON of some LOOK documents."""
-    n = docs.count()
-    some = docs if n <= LOOK else docs.sample(LOOK / n, seed=1)
-    seen = _exploded(some, id_col, text_col, _one_and_two, ["key", "order"]).groupBy("order", "key").agg(F.count("*").alias("docs"))
-    seen = seen.filter(F.col("docs") >= max(2, COMMON * min(n, LOOK)))
-    rows = seen.orderBy(F.desc("docs"), "key").limit(MOST_COMMON).collect()
-    return {k: np.sort(np.array([r["key"] for r in rows if r["order"] == k], np.int64)) for k in (1, 2)}
-
-
-def with_counts(rows: DataFrame, n: Column) -> DataFrame:
-    """Exploded n-grams with c, the sum of n over all of their kind, by one exchange."""
-    # The same filter that joins infer, stated once for all three readers of the exchange.
-    dealt = rows.filter("key IS NOT NULL AND salt IS NOT NULL").repartition("key", "salt")
-    local = dealt.groupBy("key", "salt").agg(_whole(n).alias("c"))
-    # The random part is always 0; it keeps the filter above the exchange, which is read again.
-    salted = dealt.filter(F.col("salt") + F.floor(F.rand(0)) > 0)
-    common = salted.groupBy("key").agg(_whole(n).alias("all_c"))  # at most MOST_COMMON rows
-    table = local.join(F.broadcast(common), "key", "left").select("key", "salt", F.coalesce("all_c", "c").alias("c"))
-    return dealt.join(table.hint("shuffle_hash"), ["key", "salt"])
-
-
-def _whole(n: Column) -> Column:
-    """The sum of n, written so that it reads doc_id: the count table then needs the same columns
-    of the exploded n-grams as the join, and both read one exchange."""
-    return F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), n)), F.lit(0)) + F.coalesce(F.sum(F.when(F.col("doc_id").isNotNull(), n)), F.lit(0))
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of tables that nothing refers to any more."""
-    spark.sparkContext._jvm.System.gc()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                own = Chunk(b["words"][i].values.to_numpy(), b["at"][i].as_py(), b["sizes"][i].values.to_numpy())
+                key, _, n = own.ngrams(order)
+                at, size = by_partition(key, parts)
+                some = np.flatnonzero(size)
+                bounds = pa.array(np.concatenate([[0], np.cumsum(size[some])]).astype(np.int32))
+                which = pa.array(np.full(len(some), b["chunk"][i].as_py()), mask=np.full(len(some), not asking))
+                n = n[at] if counted else np.zeros(len(at), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(some), which, pa.ListArray.from_arrays(bounds, pa.array(key[at].view(np.int64))), pa.ListArray.from_arrays(bounds, pa.array(n))], names=["part", "chunk", "keys", "n"])
+
+    return chunks.select("chunk", "sizes", "words", "at").mapInArrow(run, "part long, chunk long, keys array<long>, n array<long>")
+
+
+def answer(order: int) -> Callable[[pa.Table], pa.Table]:
+    """Of one partition's rows: each asking row with the counts of its n-grams."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        keys, n = (pc.list_flatten(t[c]).to_numpy() for c in ("keys", "n"))
+        which = np.unique(keys, return_inverse=True)[1]
+        total = np.bincount(which, n).astype(np.int64)  # exact below 2^53
+        size = pc.list_value_length(t["keys"]).to_numpy()
+        ends = np.cumsum(size)
+        asks = np.flatnonzero(t["chunk"].is_valid().to_numpy())
+        taken = np.repeat(t["chunk"].is_valid().to_numpy(), size)
+        bounds = np.concatenate([[0], np.cumsum(size[asks])]).astype(np.int32)
+        assert ends[-1:].sum() == len(keys)
+        counts = pa.ListArray.from_arrays(pa.array(bounds), pa.array(total[which[taken]]))
+        return pa.table([pa.array(np.full(len(asks), order, np.int32)), t["part"].take(pa.array(asks)), t["chunk"].take(pa.array(asks)), counts], names=["order", "part", "chunk", "counts"])
+
+    return run
+
+
+def chunk_scores(own: Chunk, words: np.ndarray, pairs: np.ndarray, which: np.ndarray, total: float, backoff: float, min_count: int, unseen: float) -> np.ndarray:
+    """The sum of ln S over each document of a chunk. words, pairs: counts of its distinct n-grams."""
+    ln_word = np.log(np.where(words > 0, words, unseen))
+    v, w = own.at[own.first], own.at[own.first + 1]
+    c = pairs[which]
+    known = np.log(np.maximum(c, 1)) - ln_word[v]
+    each = np.zeros(len(own.at))
+    each[own.first + 1] = np.where(c >= min_count, known, np.log(backoff) + ln_word[w] - np.log(total))
+    starts = (own.ends - own.sizes)[own.sizes > 0]
+    each[starts] = ln_word[own.at[starts]] - np.log(total)
+    doc = np.repeat(np.arange(len(own.sizes)), own.sizes)
+    return np.bincount(doc, each, len(own.sizes))
 
 
 def score_documents(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", backoff: float = 0.4, min_count: int = 1, unseen: float = 1.0) -> DataFrame:
     """doc_id, n_words, log_score (sum of ln S) and mean_log_score for each id of docs.
 
     corpus: the documents that are counted, by default docs themselves, all of them. Pairs that
-    occur less than min_count times there are not in the table. Null and empty texts have no
-    words, log_score 0 and a null mean. Rows of one id (null is one) are parts of one document,
-    each with a first word of its own. An empty table gives an empty result.
+    occur less than min_count times (1 or more) there are not in the table. Null and empty texts
+    have no words, log_score 0 and a null mean; very long texts count whole. Rows of one id (null
+    is one), repeated ones among them, are parts of one document, each with a first word of its
+    own. An empty table gives an empty result; other columns are not carried, whatever their names.
     """
     spark = docs.sparkSession
-    own = corpus is None
-    lacking = not own or min_count > 1
-    common = {} if lacking else common_ngrams(docs, id_col, text_col)
-    # Order one: a word is a context wherever it isn't the last of its text.
-    n, last, first = F.shiftright("code", 2), F.shiftright("code", 1).bitwiseAND(F.lit(1)), F.col("code").bitwiseAND(F.lit(1))
-    if lacking:
-        counted = materialize((docs if own else corpus).transform(unigrams, id_col, text_col).groupBy("key").agg(F.sum(n).alias("c")), "lm-words")
-        total = float(counted.agg(F.sum("c")).first()[0] or 0)
-        met = unigrams(docs, id_col, text_col).join(counted, "key", "left")
-    else:
-        met = with_counts(unigrams(docs, id_col, text_col, common[1]), n)
-    ln = F.log(F.coalesce(F.col("c").cast("double"), F.lit(unseen)))
-    sums = met.groupBy("doc_id").agg(F.sum(n).alias("n_words"), F.sum((first - n + last) * ln).alias("s1"), F.sum(last).alias("starts"))
-    sums = materialize(sums, "lm-order-1")
-    if not lacking:
-        total = float(sums.agg(F.sum("n_words")).first()[0] or 0)
-    del met
-    free_shuffles(spark)
-    # Order two.
-    if lacking:
-        table = (docs if own else corpus).transform(bigrams, id_col, text_col).groupBy("key").agg(F.sum("n").alias("c"))
-        table = materialize(table.filter(F.col("c") >= min_count), "lm-pairs")
-        met = bigrams_with_words(docs, id_col, text_col).join(table, "key", "left")
-    else:
-        met = with_counts(bigrams(docs, id_col, text_col, common[2]), F.col("n"))
-    second = materialize(met.groupBy("doc_id").agg(F.sum(F.col("n") * F.log(F.col("c").cast("double"))).alias("s2")), "lm-order-2")
-    parts = [sums.select("doc_id", "n_words", F.col("s1").alias("s"), "starts"), second.select("doc_id", F.lit(0).cast("long"), "s2", F.lit(0).cast("long"))]
-    if lacking:
-        lost = met.filter("c IS NULL").select("doc_id", "v", "w", "n")
-        word = lambda name: F.log(F.coalesce(F.col(name).cast("double"), F.lit(unseen)))
-        lost = lost.join(counted.select(F.col("key").alias("v"), F.col("c").alias("cv")), "v", "left").join(counted.select(F.col("key").alias("w"), F.col("c").alias("cw")), "w", "left")
-        gain = F.col("n") * (word("cv") + F.lit(math.log(backoff)) + word("cw") - F.lit(math.log(max(total, 1.0))))
-        third = materialize(lost.groupBy("doc_id").agg(F.sum(gain).alias("s3")), "lm-backoff")
-        parts.append(third.select("doc_id", F.lit(0).cast("long"), "s3", F.lit(0).cast("long")))
-    ids = docs.select(col(id_col).alias("doc_id"), F.lit(0).cast("long"), F.lit(0.0), F.lit(0).cast("long"))
-    every = parts[0]
-    for p in [*parts[1:], ids]:
-        every = every.union(p)
-    out = every.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum(F.coalesce("s", F.lit(0.0))).alias("s"), F.sum("starts").alias("starts"))
-    score: Column = F.col("s") - F.col("starts") * F.lit(math.log(max(total, 1.0)))
-    return out.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log_score"))
+    asking = materialize(chunks_of(docs, id_col, text_col), "lm-chunks")
+    counted = asking if corpus is None else materialize(chunks_of(corpus, id_col, text_col), "lm-corpus")
+    sized = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    total = float(counted.agg(F.sum(sized)).first()[0] or 1)
+    most = total if corpus is None else total + float(asking.agg(F.sum(sized)).first()[0] or 0)
+    words = (counted if corpus is None else counted.select("words").union(asking.select("words"))).agg(F.sum(F.size("words"))).first()[0] or 0
+    answers = []
+    for order, entries in ((1, words), (2, most)):
+        parts = 1 + int(entries // ENTRIES)
+        rows = exploded(counted, order, parts, True, corpus is None)
+        if corpus is not None:
+            rows = rows.union(exploded(asking, order, parts, False, True))
+        answers.append(materialize(rows.groupBy("part").applyInArrow(answer(order), "order int, part long, chunk long, counts array<long>"), f"lm-counts-{order}"))
+
+    kind = asking.schema["ids"].dataType.elementType.simpleString()
+    arrow_kind = T.StructType([T.StructField("doc_id", asking.schema["ids"].dataType.elementType)])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        for i in range(left.num_rows):
+            own = Chunk(left["words"][i].values.to_numpy(), left["at"][i].as_py(), left["sizes"][i].values.to_numpy())
+            found = []
+            for order in (1, 2):
+                key, which, _ = own.ngrams(order)
+                got = right.filter(pc.equal(right["order"], order)).sort_by("part")
+                at, size = by_partition(key, 1 + int((words, most)[order - 1] // ENTRIES))
+                counts = np.empty(len(key), np.int64)
+                counts[at] = pc.list_flatten(got["counts"]).to_numpy()
+                found += [counts, which]
+            ln = chunk_scores(own, found[0], found[2], found[3], total, backoff, min_count, unseen)
+            out.append((left["ids"][i].values, own.sizes, ln))
+        schema = to_arrow_schema(arrow_kind).append(pa.field("n", pa.int64())).append(pa.field("s", pa.float64()))
+        return pa.table([pa.chunked_array([o[0] for o in out], schema[0].type), pa.chunked_array([pa.array(o[1], pa.int64()) for o in out], pa.int64()), pa.chunked_array([pa.array(o[2], pa.float64()) for o in out], pa.float64())], schema=schema)
+
+    both = answers[0].union(answers[1])
+    scored = asking.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(score, f"doc_id {kind}, n long, s double")
+    scored = materialize(scored, "lm-scores")
+    discard(spark, asking, *answers, *([] if corpus is None else [counted]))
+    out = scored.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("s").alias("log_score"))
+    return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -33,7 +33,7 @@ def op2_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score_documents(table(spark, sf_dir, "documents"))
+    out = score_documents(table(spark, sf_dir, "documents"), min_count=2)
     return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
@@ -107,9 +107,10 @@ toks AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM sp
 one AS (SELECT w, count(*) AS c FROM toks GROUP BY w),
 total AS (SELECT sum(c) AS n FROM one),
 pairs AS (SELECT a.doc_id, a.w AS v, b.w AS w FROM toks a JOIN toks b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
-two AS (SELECT v, w, count(*) AS c FROM pairs GROUP BY v, w),
+two AS (SELECT v, w, count(*) AS c FROM pairs GROUP BY v, w HAVING count(*) >= 2),
 terms AS (
-  SELECT p.doc_id, ln(t.c) - ln(o.c) AS s FROM pairs p JOIN two t USING (v, w) JOIN one o ON o.w = p.v
+  SELECT p.doc_id, CASE WHEN t.c IS NOT NULL THEN ln(t.c) - ln(o.c) ELSE ln(0.4) + ln(k.c) - ln(total.n) END AS s
+  FROM pairs p LEFT JOIN two t ON t.v = p.v AND t.w = p.w JOIN one o ON o.w = p.v JOIN one k ON k.w = p.w, total
   UNION ALL
   SELECT k.doc_id, ln(o.c) - ln(total.n) FROM toks k JOIN one o USING (w), total WHERE k.i = 1
 ),
