@@ -3,11 +3,14 @@
 Coarse centroids and residual codebooks are fitted on a bounded sample; every row is indexed:
 it goes to the list of its nearest centroid, and its residual, divided by the list's mean
 residual length, is coded by one byte per sub-space. (Without that scale, a dense group of near
-copies would share a few codes.) A query probes the lists whose centroids have the largest inner product with it. In
-a list its asymmetric table (inner products of its sub-vectors with all codewords) scores every
-row by table look-ups. The rows of a block whose score is not below the k-th best by more than
-the list's coding error allows (so all of a dense group of near copies, which codes hardly tell
-apart) are ranked again by exact inner products of the original vectors in double precision.
+copies would share a few codes.) A query probes the lists whose centroids have the largest inner
+product with it. The sample gives each query a floor: its k-th best inner product there, which
+its k-th best of all cannot be below. Lists that cannot reach the floor, by their centroid and
+their longest residual, are not probed. In a list the query's asymmetric table (inner products of
+its sub-vectors with all codewords) scores every row by table look-ups; rows whose score is below
+the floor, or the k-th best score of their block, by more than the list's coding error allows are
+out. Only for the others exact inner products of the original vectors are computed, in double
+precision.
 
 Lists are cut into blocks and a list's queries into sets, both of bounded size, so a list that
 holds a third of all rows is many small tasks. Ties go to the smaller id at every step.
@@ -34,6 +37,7 @@ PROBE = 0.75  # share of the lists that a query probes; without structure in the
 BLOCK = 2048  # rows of a list that are scored in one step
 QUERY_BLOCK = 512  # queries of a list that are scored in one step
 BAND = 2.5  # standard errors of a coded inner product below the k-th best that are ranked again
+PAIRS = 50_000  # exact inner products that are computed at once
 LEAST_SCALE = 8  # sampled rows of a list from which its own scale is taken
 
 
@@ -68,8 +72,13 @@ class Index:
             out[:, j] = np.argmax(rest[:, self.cuts[j] : self.cuts[j + 1]] @ book.T - (book**2).sum(axis=1) / 2, axis=1)
         return out
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-(q @ self.centre.T), axis=1, kind="stable")[:, :n]
+    def probes(self, q: np.ndarray, n: int, floor: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
+        """For each query the n lists of the largest centroid products, without those that hold
+        nothing (reach below 0) or cannot come up to its floor."""
+        near = q @ self.centre.T
+        bound = near + np.sqrt((q**2).sum(axis=1))[:, None] * np.maximum(reach, 0) * (1 + 1e-9)
+        order = np.argsort(-near, axis=1, kind="stable")[:, :n]
+        return [o[(reach[o] >= 0) & (bound[i, o] >= floor[i])] for i, o in enumerate(order)]
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Of each sub-space, the inner products of every query with every codeword."""
@@ -95,41 +104,43 @@ def fit(x: np.ndarray, lists: int, subspaces: int = 16, seed: int = 11) -> Index
     return index
 
 
-def shortlist(score: np.ndarray, n: int) -> np.ndarray:
-    """Of each row of scores the n largest, ties to the smaller column: columns in order."""
-    if score.shape[1] <= n:
-        return np.broadcast_to(np.arange(score.shape[1]), score.shape)
-    least = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n][:, None]
-    above, level = score > least, score == least
-    take = above | (level & (np.cumsum(level, axis=1) <= n - above.sum(axis=1)[:, None]))
-    return np.nonzero(take)[1].reshape(len(score), n)
+def floors(q: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """For each query a bound that its k-th best inner product is not below, from rows of the
+    table (ids, x); -inf where they are too few."""
+    if len(x) <= k:
+        return np.full(len(q), -np.inf)
+    near = q @ x.T
+    near[query_ids[:, None] == ids[None, :]] = -np.inf
+    least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k]
+    return least - rounding(q, x)
+
+
+def rounding(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each query what the order of summation can change in its inner products with rows of x."""
+    return 4 * q.shape[1] * np.finfo(np.float64).eps * np.sqrt((q**2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max(initial=0))
 
 
-def search_block(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, list_no: int, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the ids and exact scores of its k best rows of the block."""
-    order = np.argsort(ids, kind="stable")
-    ids, x, codes = ids[order], x[order].astype(np.float64), codes[order]
+def search_block(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, list_no: int, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query_id, id, exact score) of each query's k best rows of the block, and how many exact
+    inner products were computed for them."""
     score = np.zeros((len(q), len(ids)), np.float32)
     for j, table in enumerate(index.tables(q)):
         score += table[:, codes[:, j]]
     score = score * np.float32(index.scale[list_no]) + (q @ index.centre[list_no]).astype(np.float32)[:, None]
     score[query_ids[:, None] == ids[None, :]] = -np.inf  # a query is no neighbour of its own
+    least = floor.copy()
     if len(ids) > k:
-        least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-        least = least - BAND * np.sqrt((q**2).sum(axis=1) / q.shape[1]) * index.error[list_no] - 1e-6 * np.abs(least)
-        score[score < least[:, None]] = -np.inf
-    # Ranked by sums in one order: all rows that may be among the k best whatever rounding did to the product.
-    near = q @ x.T
-    near[score == -np.inf] = -np.inf
-    slack = 2 * q.shape[1] * np.finfo(np.float64).eps * np.outer(np.sqrt((q**2).sum(axis=1)), np.sqrt((x**2).sum(axis=1)))
-    may = near > -np.inf
-    if len(ids) > k:
-        may &= near + slack >= np.partition(near - slack, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
-    for i in range(len(q)):
-        cols = np.flatnonzero(may[i])
-        exact = np.einsum("rd,d->r", x[cols], q[i])
-        best = np.argsort(-exact, kind="stable")[:k]
-        yield int(query_ids[i]), ids[cols[best]], exact[best]
+        least = np.maximum(least, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k])
+    least -= BAND * np.sqrt((q**2).sum(axis=1) / q.shape[1]) * index.error[list_no] + 1e-6 * np.where(np.isfinite(least), np.abs(least), 0)
+    asks, rows = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    exact = np.empty(len(asks))
+    for s in range(0, len(asks), PAIRS):
+        exact[s : s + PAIRS] = np.einsum("pd,pd->p", q[asks[s : s + PAIRS]], x[rows[s : s + PAIRS]].astype(np.float64))
+    order = np.lexsort((ids[rows], -exact, asks))
+    asks, rows, exact = asks[order], rows[order], exact[order]
+    n = np.bincount(asks, minlength=len(q))
+    best = np.arange(len(asks)) - np.repeat(np.cumsum(n) - n, n) < k
+    return query_ids[asks[best]], ids[rows[best]], exact[best], len(asks)
 
 
 def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probe: float = PROBE, sample: int = SAMPLE) -> DataFrame:
@@ -139,18 +150,21 @@ def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str =
     query_filter sees the id as column vec_id. Rows without an id take no part, nor do vectors
     that are null, zero, of another size than most, or hold null or non-finite components. A
     repeated row is a candidate as often as it occurs; an id that occurs twice as a query is
-    answered for each of its vectors under one query_id. An empty table gives an empty result.
+    answered for each of its vectors under one query_id. Equal scores go by the smaller id. An
+    empty table gives an empty result; other columns are not carried, whatever their names.
     """
     spark = vectors.sparkSession
     dim, kind = vector_size(vectors, vec_col), element_type(vectors, vec_col)
     rows = binary_vectors(vectors, vec_col, {"vec_id": id_col}, dim, kind).filter("vec IS NOT NULL AND vec_id IS NOT NULL")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "vec")
     n = rows.count()
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec").limit(sample).select("vec").collect()
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec").limit(sample).collect()
     if not some:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = min(MOST_LISTS, max(LEAST_LISTS, 1 << int(np.log2(n**0.5 / 4 + 1))), max(1, len(some) // 4))
-    index = fit(np.frombuffer(b"".join(bytes(r["vec"]) for r in some), kind).reshape(-1, dim).astype(np.float64), lists)
+    some_ids = np.array([r["vec_id"] for r in some], np.int64)
+    some_x = np.frombuffer(b"".join(bytes(r["vec"]) for r in some), kind).reshape(-1, dim).astype(np.float64)
+    index = fit(some_x, lists)
     shared = spark.sparkContext.broadcast((index.centre, index.scale, index.error, index.cuts, index.books))
     n_probe = max(1, int(np.ceil(probe * lists)))
 
@@ -161,18 +175,28 @@ def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str =
                 index = Index(*shared.value)
                 own = index.assign(x)
                 codes = index.encode(x, own)
-                yield pa.RecordBatch.from_arrays([b["vec_id"], b["vec"], pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "vec", "list", "code"])
+                far = np.sqrt(((x - index.centre[own]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([b["vec_id"], b["vec"], pa.array(own.astype(np.int32)), pa.array(far), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "vec", "list", "far", "code"])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                got = Index(*shared.value).probes(matrix(b["vec"], dim, kind).astype(np.float64), n_probe).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b["vec_id"], b["vec"], pa.array(list(got), pa.list_(pa.int32()))], names=["vec_id", "vec", "lists"])
+    coded = materialize(rows.mapInArrow(encode, "vec_id long, vec binary, list int, far double, code binary"), "ann-index")
+    held = coded.groupBy("list").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()  # one row a list
+    blocks, reach = {r["list"]: -(-r["n"] // BLOCK) for r in held}, np.full(lists, -1.0)
+    for r in held:
+        reach[r["list"]] = r["far"]
+    looked = spark.sparkContext.broadcast((some_ids, some_x.astype(kind), reach))
 
-    coded = materialize(rows.mapInArrow(encode, "vec_id long, vec binary, list int, code binary"), "ann-index")
-    asked = materialize(coded.filter(query_filter).select("vec_id", "vec").distinct().mapInArrow(place, "vec_id long, vec binary, lists array<int>"), "ann-queries")
-    probed = asked.select("vec_id", "vec", F.explode("lists").alias("list"))
-    blocks = {r["list"]: -(-r["n"] // BLOCK) for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row a list
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, far = looked.value
+        for whole in batches:
+            for s in range(0, whole.num_rows, 512):
+                b = whole.slice(s, 512)
+                q = matrix(b["vec"], dim, kind).astype(np.float64)
+                floor = floors(q, b["vec_id"].to_numpy(), ids, x.astype(np.float64), k)
+                got = Index(*shared.value).probes(q, n_probe, floor, far)
+                yield pa.RecordBatch.from_arrays([b["vec_id"], b["vec"], pa.array(floor), pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32()))], names=["vec_id", "vec", "floor", "lists"])
+
+    asked = materialize(coded.filter(query_filter).select("vec_id", "vec").distinct().mapInArrow(place, "vec_id long, vec binary, floor double, lists array<int>"), "ann-queries")
+    probed = asked.select("vec_id", "vec", "floor", F.explode("lists").alias("list"))
     sets = {r["list"]: -(-r["n"] // QUERY_BLOCK) for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}
 
     def looked_up(found: dict[int, int]) -> Column:
@@ -182,9 +206,9 @@ def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str =
         return F.explode(F.sequence(F.lit(0), count - 1))
 
     left = coded.withColumn("sets", looked_up(sets)).filter("sets > 0").withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), looked_up(blocks)).cast("int"))
-    left = left.select("list", "block", every(F.col("sets")).alias("set"), F.lit(0).alias("role"), "vec_id", "vec", "code")
+    left = left.select("list", "block", every(F.col("sets")).alias("set"), F.lit(0).alias("role"), "vec_id", "vec", "code", F.lit(None).cast("double").alias("floor"))
     right = probed.withColumn("blocks", looked_up(blocks)).filter("blocks > 0").withColumn("set", F.pmod(F.xxhash64("vec_id", "vec"), looked_up(sets)).cast("int"))
-    right = right.select("list", every(F.col("blocks")).alias("block"), "set", F.lit(1).alias("role"), "vec_id", "vec", F.lit(None).cast("binary").alias("code"))
+    right = right.select("list", every(F.col("blocks")).alias("block"), "set", F.lit(1).alias("role"), "vec_id", "vec", F.lit(None).cast("binary").alias("code"), "floor")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Index(*shared.value)
@@ -201,11 +225,11 @@ def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str =
                 for s in range(0, len(asks), 128):
                     part = asks[s : s + 128]
                     q = matrix(t["vec"].take(pa.array(part)), dim, kind).astype(np.float64)
-                    got = [g for g in search_block(own, ids[data], x, codes, int(which[a]), ids[part], q, k) if len(g[1])]
-                    yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+                    floor = t["floor"].take(pa.array(part)).to_numpy()
+                    asker, found, score, _ = search_block(own, ids[data], x, codes, int(which[a]), ids[part], q, floor, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(asker), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     met = left.union(right.select(left.columns)).repartition("list", "block", "set").sortWithinPartitions("list", "block", "set")
-    found = met.mapInArrow(search, "query_id long, ids array<long>, scores array<double>")
-    found = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    found = met.mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
