@@ -39,7 +39,7 @@ LANES = 4  # of the fingerprints that find similar sets
 CHECKED = 2  # of these, lanes that a candidate is tried on before its sets are
 SAMPLE = 4096  # distinct fingerprints, at most, from which correlations and candidate counts are estimated
 TILE = 2048  # rows of a bucket that are compared in one task; larger buckets are cut
-DENSE = 48  # rows of a bucket from which on rows are asked one by one, not all pairs compared
+DENSE = 512  # rows of a bucket from which on rows are asked one by one, not all pairs compared
 PIECE = 1 << 16  # hashes that are unpacked to bits at once
 MISS = 0.002  # probability, at most, that no part brings a pair of the least similarity together
 SETS = 2048  # shingle sets, about, that are verified in one task; larger groups are cut
