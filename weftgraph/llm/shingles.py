@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 
 from .components import grow
 
-POSTINGS = 1 << 20  # postings that are counted at once
+ELEMENTS = 1 << 20  # elements that are looked up at once
 
 
 def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -26,27 +28,28 @@ def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops)), np.uint64, len(starts)))
 
 
-def set_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+def set_links(sets: list[np.ndarray], similarity: float, may: Callable[[int], np.ndarray] | None = None) -> np.ndarray:
     """For sets 0..n-1, none of them empty, the smallest of each one's component of links of at
-    least the Jaccard similarity. Common elements are counted by the holders of each element."""
+    least the Jaccard similarity. may(i): which sets can link with set i, by default all."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    terms = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    holders = np.repeat(np.arange(n), sizes)[np.argsort(terms, kind="stable")]
-    df = np.bincount(terms)
-    first = np.cumsum(df) - df
+    first = np.cumsum(sizes) - sizes
+    distinct, terms = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(distinct), bool)
 
     def near(i: int) -> np.ndarray:
-        own = terms[bounds[i] : bounds[i + 1]]
-        own = own[df[own] > 1]
-        common = np.zeros(n, np.int64)
-        step = max(1, POSTINGS // n)
-        for k in range(0, len(own), step):
-            part = own[k : k + step]
-            lens = df[part]
-            where = np.arange(lens.sum()) + np.repeat(first[part] - (np.cumsum(lens) - lens), lens)
-            common += np.bincount(holders[where], minlength=n)
-        return common >= similarity * (sizes[i] + sizes - common) - 1e-9
+        ok = np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9
+        ok = np.flatnonzero(ok if may is None else ok & may(i))
+        mark[terms[first[i] : first[i] + sizes[i]]] = True
+        out = np.zeros(n, bool)
+        for part in np.array_split(ok, 1 + sizes[ok].sum() // ELEMENTS):
+            if len(part):
+                lens = sizes[part]
+                starts = np.cumsum(lens) - lens
+                held = mark[terms[np.arange(lens.sum()) + np.repeat(first[part] - starts, lens)]]
+                common = np.add.reduceat(held, starts, dtype=np.int64)
+                out[part] = common >= similarity * (sizes[i] + lens - common) - 1e-9
+        mark[terms[first[i] : first[i] + sizes[i]]] = False
+        return out
 
     return grow(n, near)

@@ -356,9 +356,13 @@ def similar_links(distinct: DataFrame, similarity: float, lanes: int = LANES) ->
     rows = distinct.count()
     some = distinct.orderBy(F.xxhash64("node")).limit(SAMPLE).select(*names).collect()
     sample = np.array([list(r) for r in some], np.int64).reshape(-1, lanes).view(np.uint64)
-    p, width = bit_difference(similarity), BITS * CHECKED
-    reach = ceil(width * p + 4 * (width * p * (1 - p)) ** 0.5)
-    return links_by_plan(distinct, plan_similar(sample, rows, similarity, lanes), reach, lanes, CHECKED)
+    return links_by_plan(distinct, plan_similar(sample, rows, similarity, lanes), reach_of(similarity, CHECKED), lanes, CHECKED)
+
+
+def reach_of(similarity: float, lanes: int) -> int:
+    """The bits in which fingerprints of the similarity differ, and four standard deviations more."""
+    p, width = bit_difference(similarity), BITS * lanes
+    return ceil(width * p + 4 * (width * p * (1 - p)) ** 0.5)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -394,30 +398,32 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = materialize(near.union(near.select(F.col("root").alias("node"), "root").distinct()), "shingles-groups")
 
     # One text of each set that is in a group, as a set again.
-    first = distinct.join(groups, "node").select("node", "root", F.col("low.doc_id").alias("first_id"), F.col("low.text_hash").alias("first_hash"))
-    asked = rows.join(first, (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "root", "text")
+    first = distinct.join(groups, "node").select("node", "root", *lanes, F.col("low.doc_id").alias("first_id"), F.col("low.text_hash").alias("first_hash"))
+    asked = rows.join(first, (F.col("text_hash") == F.col("first_hash")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "root", *lanes, "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                yield pa.RecordBatch.from_arrays([part["node"], part["root"], pa.array([shingle_set(t.as_py(), words).tobytes() for t in part["text"]], pa.binary())], ["node", "root", "hashes"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([shingle_set(t.as_py(), words).tobytes() for t in part["text"]], pa.binary())], ["node", "root", *lanes, "hashes"])
 
-    sets = materialize(asked.dropDuplicates(["node"]).mapInArrow(cut, "node long, root long, hashes binary"), "shingles-sets")
+    sets = materialize(asked.dropDuplicates(["node"]).mapInArrow(cut, "node long, root long, " + "".join(f"{c} long, " for c in lanes) + "hashes binary"), "shingles-sets")
     sizes = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum(F.length("hashes")) / SET_BYTES)).cast("int").alias("chunks"))
     tiled = sets.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tiled = tiled.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "hashes")
+    tiled = tiled.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *lanes, "hashes")
+    reach = reach_of(similarity, LANES)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, group in sorted_runs(batches, ["root", "i", "j"], least=512):
-            node = t["node"].to_numpy()
+            node, fps = t["node"].to_numpy(), np.stack([t[c].to_numpy().view(np.uint64) for c in lanes], axis=1)
             forest = Forest(len(node))
             edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist()
             for a, b in zip(edges[:-1], edges[1:]):
                 if b - a > 1:
                     held = [np.frombuffer(h.as_buffer(), np.uint64) for h in t["hashes"].slice(a, b - a)]
-                    forest.add(np.arange(a, b), a + set_links(held, similarity))
+                    x = fps[a:b]
+                    forest.add(np.arange(a, b), a + set_links(held, similarity, lambda i: distance(x[i], x) <= reach))
             x, y = forest.star()
             yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
