@@ -187,3 +187,79 @@ def test_only_some_fields_can_be_edited(spark):
 def test_unknown_values_are_found(spark):
     n = spark.createDataFrame([("a", "class", None, None, None), ("b", "klass", None, None, None), ("c", "task", "later", None, None), ("d", "task", "done", None, "urgent")], "id string, node_type string, task_status string, bug_status string, priority string")
     assert {r["id"] for r in schema.invalid_nodes(n).collect()} == {"b", "c", "d"}
+
+
+def test_two_writers(spark, tmp_path):
+    a, b = store.Store(spark, f"file://{tmp_path}/store"), store.Store(spark, f"file://{tmp_path}/store")
+    a.write("nodes", nodes(spark, "a"))
+    first, second = a.read("nodes"), b.read("nodes")
+    a.write("nodes", first.unionByName(schema.conform(nodes(spark, "b"), schema.NODES)))
+    b.write("edges", edges(spark, ("a", "b")))  # another table: both stay
+    with pytest.raises(store.Conflict):
+        b.write("nodes", second.limit(0))
+    assert a.read("nodes").count() == 2 and a.read("edges").count() == 1
+    a.write_all({"nodes": a.read("nodes").limit(1), "edges": a.read("edges").limit(0)})
+    assert b.read("nodes").count() == 1 and b.read("edges").count() == 0
+    b.write("nodes", nodes(spark, "z"))
+    assert [r["id"] for r in a.read("nodes").collect()] == ["z"]
+
+
+def test_a_hot_name_adds_no_rows(spark):
+    n = spark.range(100_000).selectExpr("concat('n', lpad(id, 6, '0')) AS id", "'run' AS name", "concat('f', id % 50, '.py') AS file_path")
+    u = spark.range(200).selectExpr("concat('s', id) AS source_id", "'x.run' AS target_name", "'calls' AS edge_type", "'' AS context", "concat('f', id % 100, '.py') AS file_path", "1.0D AS weight", "id AS ordinal")
+    got = {r["source_id"]: r["target_id"] for r in graph.resolve_edges(u, n).collect()}
+    assert got == {f"s{k}": f"n{k % 100 if k % 100 < 50 else 0:06d}" for k in range(200)}
+
+
+def test_file_references_equal_brute_force(spark):
+    paths = [f"{d}{f}" for d in ("", "a/", "b/a/", "src/x/", "a\\") for f in ("main.py", "in.py", "util.py", "x.py")]
+    refs = ["main.py", "/a/main.py", "in.py", "n.py", "b\\a\\util.py", "repo/src/x/x.py", "zzz/util.py", "none.txt", " a/x.py ", ""]
+    n = spark.createDataFrame([(f"{k:03d}", "codebase", p) for k, p in enumerate(paths)], "id string, category string, file_path string")
+    want = set()
+    for ref in refs:
+        t = ref.strip().lstrip("/\\").replace("\\", "/")
+        score = {}
+        for k, p in enumerate(p.replace("\\", "/") for p in paths):
+            score[f"{k:03d}"] = 0 if not t else 3 if p == t else 2 if p.endswith(t) or t.endswith(p) else 1 if p.split("/")[-1] == t.split("/")[-1] else 0
+        best = max(score.values())
+        want |= {(ref, i, best) for i in sorted(i for i, s in score.items() if s == best)[:3] if best}
+    got = filters.match_files(n, spark.createDataFrame([(r,) for r in refs], "ref string"))
+    assert {(r["ref"], r["id"], r["score"]) for r in got.collect()} == want
+
+
+def test_hubs_in_lists_and_trees(spark):
+    n = nodes(spark, "hub", *(f"k{i:03d}" for i in range(50)))
+    e = edges(spark, *(("hub", f"k{i:03d}") for i in range(50)))
+    parts = {r["part"]: len(r["outgoing"]) for r in graph.adjacency(e, most=20).filter("id = 'hub'").collect()}
+    assert parts == {0: 20, 1: 20, 2: 10}
+    tree = graph.relationship_tree(n, e, n.filter("id = 'hub'"), max_hops=1, per_group=5).collect()
+    assert len(tree) == 5 and all(r["has_more"] for r in tree)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from weftgraph.plans import shared
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+        def getConf(self):
+            return {}
+
+    spark = type("Session", (), {"sparkContext": Context()})()
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        Context.master = master
+        with pytest.raises(ValueError):
+            shared.shared_dir(spark)
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    import glob
+
+    from weftgraph.plans.shared import keep, materialize, scratch, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    with scratch(spark):
+        materialize(nodes(spark, "a"), "scratch-gone")
+        held = keep(materialize(nodes(spark, "a", "b"), "scratch-kept"))
+    assert held.count() == 2 and not glob.glob(f"{folder}/scratch-gone-*") and glob.glob(f"{folder}/scratch-kept-*")

@@ -2,10 +2,11 @@
 
 import sqlite3
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import lifecycle, rollup, schema, store
+from weftgraph.operators import lifecycle, rollup, schema, store, text, vectors
 from weftgraph.plans import indexing
 from weftgraph.sources import database, files, logs, packages
 from weftgraph.sources.other_code import parse_other
@@ -264,3 +265,61 @@ def test_streamed_windows_equal_the_batch(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     key = lambda df: {(r["window_start"], r["event_type"]): (r["n"], round(r["total"], 6)) for r in df.collect()}
     assert key(spark.table("win")) == key(ingest.windowed_counts(events, "ts", ["event_type"], "value"))
+
+
+def test_update_leaves_nothing_behind(spark, tmp_path):
+    root, out = tmp_path / "src", store.Store(spark, f"file://{tmp_path}/store")
+    root.mkdir()
+    filler = "".join(f"    x{k} = {k}\n" for k in range(1200))
+    (root / "a.py").write_text(f'def load():\n{filler}    run("SELECT id FROM users")\n\n\ndef other():\n    pass\n')
+    (root / "schema.sql").write_text("CREATE TABLE users (\n  id INTEGER PRIMARY KEY\n);\n")
+    indexing.full_index(spark, f"file://{root}", out, components=4)
+    asks = lambda: {(r["edge_type"]) for r in out.read("edges").filter("edge_type = 'queries'").collect()}
+    assert asks() == {"queries"}  # the statement stands after the first 10,000 characters
+    before, vectors_before = out.state(), {r["node_id"] for r in out.read("embeddings").collect()}
+    (root / "a.py").write_text("def load():\n    pass\n\n\ndef fresh():\n    load()\n")
+    indexing.incremental_update(spark, f"file://{root}", out)
+    after, nodes = out.state(), out.read("nodes").collect()
+    ids = {r["id"] for r in nodes}
+    assert asks() == set() and after["last_update"] > before["last_update"] and after["last_full_index"] == before["last_full_index"]
+    assert after["total_nodes"] == len(nodes) and all(r["summary_detailed"] for r in nodes)
+    held = {r["node_id"] for r in out.read("embeddings").collect()}
+    assert held == ids != vectors_before and len({len(r["embedding"]) for r in out.read("embeddings").collect()}) == 1
+    one = spark.createDataFrame([("a.py", "def load():\n    pass\n\n\ndef fresher():\n    load()\n")], "file_path string, content string")
+    indexing.micro_update(out, one)
+    (root / "a.py").write_text(one.first()["content"])
+    assert indexing.incremental_update(spark, f"file://{root}", out) == {"same": 2}
+    assert {r["source_id"] for r in out.read("unresolved").collect()} <= {r["id"] for r in out.read("nodes").collect()}
+    whole = store.Store(spark, f"file://{tmp_path}/whole")
+    indexing.full_index(spark, f"file://{root}", whole, components=4)
+    key = lambda s: sorted((r["source_id"], r["target_id"], r["edge_type"]) for r in s.read("edges").collect())
+    assert key(out) == key(whole) and {r["id"] for r in out.read("nodes").collect()} == {r["id"] for r in whole.read("nodes").collect()}
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    for name in ("top.py", "a/__init__.py", "a/b/c.py", "d e/x#y.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    listed = files.list_files(spark, f"file://{tmp_path}")
+    assert {r["file_path"]: r["size"] for r in listed.collect()} == {n: len(n) for n in ("top.py", "a/__init__.py", "a/b/c.py", "d e/x#y.py")}
+    assert {r["file_path"]: r["content"] for r in files.read_contents(listed).collect()}["a/b/c.py"] == "a/b/c.py"
+
+
+def test_stored_model_and_postings(spark):
+    n = spark.createDataFrame([("a", "read café file", ""), ("b", "write file", ""), ("c", "walk dog", ""), ("d", "feed dog", "")], "id string, name string, docstring string")
+    n = schema.conform(n, schema.NODES)
+    made, model = vectors.embed_all(n, spark.createDataFrame([], schema.EDGES), 3)
+    back = vectors.load_model(model.rows(spark))
+    assert np.allclose(back.components, model.components) and np.allclose(back.mean, model.mean) and vectors.load_model(spark.createDataFrame([], schema.MODEL)) is None
+    assert np.allclose(vectors.embed_query(spark, "dog", back, 3), vectors.embed_query(spark, "dog", model, 3))
+    stored = text.indexed(n)
+    changed = n.withColumn("name", F.when(F.col("id") == "a", "read book").otherwise(F.col("name")))
+    rows = lambda df: sorted((r["node_id"], r["term"], r["tf"]) for r in df.collect())
+    assert rows(text.current_postings(stored, changed)) == rows(text.postings(changed))
+    assert [r["node_id"] for r in text.bm25(text.postings(n), "Cafe").collect()] == ["a"] and [r["node_id"] for r in text.bm25(text.postings(n), "café").collect()] == ["a"]
+
+
+def test_patterns_are_checked_by_java(spark):
+    with pytest.warns(UserWarning):
+        kept = text.Redaction(custom=[r"(?P<x>a)", r"\p{Lu}{3}-\d+"]).steps()
+    assert [p for p, label in kept if label == "[REDACTED_CUSTOM]"] == [r"\p{Lu}{3}-\d+"]

@@ -93,21 +93,34 @@ def match_files(nodes: DataFrame, refs: DataFrame, most: int = 3) -> DataFrame:
     """(ref, id, score): for each file reference (ref) the code nodes whose path fits it best.
 
     3: the same path, 2: one ends with the other, 1: the same file name; only the best score of
-    a reference counts, and of it the first `most` ids. Suffixes need not begin at a slash; a
-    suffix shares its last characters, so candidates are joined by file name, and partial names
-    by a length-limited tail.
+    a reference counts, and of it the first `most` ids. Suffixes need not begin at a slash.
+
+    All are equal joins: on the path, on the suffixes of either side that are as long as something
+    of the other, and on the file name. Nodes are brought down to the first `most` ids of each key
+    before they are joined, so a file name that very many files bear adds `most` rows a reference.
     """
     target = F.regexp_replace(F.regexp_replace(F.trim("ref"), r"^[/\\]+", ""), r"\\", "/")
-    r = refs.select("ref").distinct().withColumn("__t", target).filter("__t <> ''").withColumn("__b", basename(F.col("__t")))
-    n = nodes.filter((F.col("category") == "codebase") & (F.coalesce("file_path", F.lit("")) != "")).select("id", F.regexp_replace("file_path", r"\\", "/").alias("__p")).withColumn("__pb", basename(F.col("__p")))
-    tails = n.select("id", "__p", F.explode(F.transform(F.sequence(F.lit(1), F.length("__pb")), lambda k: F.substring(F.col("__pb"), k, 4096))).alias("__key"), "__pb")
-    heads = r.select("ref", "__t", F.explode(F.transform(F.sequence(F.lit(1), F.length("__b")), lambda k: F.substring(F.col("__b"), k, 4096))).alias("__key"), "__b")
-    score = F.when(F.col("__p") == F.col("__t"), 3).when(F.col("__p").endswith(F.col("__t")) | F.col("__t").endswith(F.col("__p")), 2).when(F.col("__b") == F.col("__pb"), 1)
-    left = heads.join(n.withColumnRenamed("__pb", "__key"), "__key").select("ref", "__t", "id", "__p", "__b", F.col("__key").alias("__pb"))
-    right = r.withColumnRenamed("__b", "__key").join(tails, "__key").select("ref", "__t", "id", "__p", F.col("__key").alias("__b"), "__pb")
-    scored = left.union(right).distinct().select("ref", "id", score.alias("score")).filter("score IS NOT NULL")
-    best = scored.withColumn("__best", F.max("score").over(Window.partitionBy("ref"))).filter("score = __best")
-    return best.withColumn("__n", F.row_number().over(Window.partitionBy("ref").orderBy("id"))).filter(F.col("__n") <= most).select("ref", "id", "score")
+    r = refs.select("ref").distinct().withColumn("__t", target).filter("__t <> ''")
+    n = nodes.filter((F.col("category") == "codebase") & (F.coalesce("file_path", F.lit("")) != "")).select("id", F.regexp_replace("file_path", r"\\", "/").alias("__p"))
+    lengths = lambda df, c: sorted(x[0] for x in df.select(F.length(c)).distinct().collect())  # noqa: E731 - path lengths: few
+    suffixes = lambda c, sizes: F.explode(F.transform(F.filter(F.array(*[F.lit(k) for k in sizes]).cast("array<int>"), lambda k: k < F.length(c)), lambda k: F.right(c, k)))
+
+    def first(keys: DataFrame) -> DataFrame:
+        return top_per_group(keys, ["__key"], [F.col("id")], most)
+
+    paths = first(n.select("id", F.col("__p").alias("__key")))
+    of_nodes = first(n.select("id", suffixes(F.col("__p"), lengths(r, "__t")).alias("__key")))
+    names = first(n.select("id", basename(F.col("__p")).alias("__key")).filter("__key <> ''"))
+    of_refs = r.select("ref", suffixes(F.col("__t"), lengths(n, "__p")).alias("__key"))
+    found = [
+        r.select("ref", F.col("__t").alias("__key")).join(paths, "__key").select("ref", "id", F.lit(3).alias("score")),
+        r.select("ref", F.col("__t").alias("__key")).join(of_nodes, "__key").select("ref", "id", F.lit(2).alias("score")),
+        of_refs.join(paths, "__key").select("ref", "id", F.lit(2).alias("score")),
+        r.select("ref", basename(F.col("__t")).alias("__key")).join(names, "__key").select("ref", "id", F.lit(1).alias("score")),
+    ]
+    scored = found[0].union(found[1]).union(found[2]).union(found[3]).groupBy("ref", "id").agg(F.max("score").alias("score"))
+    best = scored.join(scored.groupBy("ref").agg(F.max("score").alias("score")), ["ref", "score"])
+    return top_per_group(best, ["ref"], [F.col("id")], most).select("ref", "id", "score")
 
 
 def visible(nodes: DataFrame, category: str | None = None, types: list[str] | None = None, language: str | None = None, least: float = 0.0, status: str | None = None, text: str = "") -> DataFrame:

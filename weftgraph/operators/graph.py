@@ -16,10 +16,15 @@ IMPACT_EDGES = ("calls", "inherits", "implements")
 OVERVIEWS = ("project_overview", "directory_overview")
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, in_degree, out_degree. Ends are counted in one pass over the edges."""
+def end_counts(edges: DataFrame) -> DataFrame:
+    """(end, i, o): the edges into and out of each end, in one pass over the edges."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("target_id").alias("end"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("source_id").alias("end"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("x"))
-    counts = ends.groupBy(F.col("x.end").alias("end")).agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
+    return ends.groupBy(F.col("x.end").alias("end")).agg(F.sum("x.i").alias("i"), F.sum("x.o").alias("o"))
+
+
+def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, in_degree, out_degree."""
+    counts = end_counts(edges)
     out = nodes.select("id").join(counts, F.col("id") == F.col("end"), "left")
     return out.select("id", F.coalesce("i", F.lit(0)).cast("long").alias("in_degree"), F.coalesce("o", F.lit(0)).cast("long").alias("out_degree"))
 
@@ -33,12 +38,13 @@ def importance(nodes: DataFrame, edges: DataFrame, respect_archived: bool = Fals
     if public, divided by the largest, to three digits. respect_archived: archived nodes get
     three tenths of it."""
     raw = (F.col("in_degree") * 1.0 + F.col("out_degree") * 0.5 + type_weight(F.col("node_type"))) * F.when(F.coalesce("is_public", F.lit(True)), 1.2).otherwise(1.0)
-    scored = materialize(nodes.drop("importance").join(degrees(nodes, edges), "id").withColumn("__raw", raw), "scores")  # read twice
+    counts = materialize(end_counts(edges), "degrees")  # three narrow columns, read twice
+    scored = nodes.drop("importance").join(counts, F.col("id") == F.col("end"), "left").withColumn("in_degree", F.coalesce("i", F.lit(0))).withColumn("out_degree", F.coalesce("o", F.lit(0))).withColumn("__raw", raw)
     largest = scored.agg(F.max("__raw")).first()[0] or 1.0  # one number
     score = F.round(F.col("__raw") / F.lit(float(largest)), 3)
     if respect_archived:
         score = F.when(F.coalesce("archived", F.lit(False)), F.round(score * 0.3, 3)).otherwise(score)
-    return scored.withColumn("importance", score).drop("__raw", "in_degree", "out_degree")
+    return scored.withColumn("importance", score).drop("__raw", "in_degree", "out_degree", "end", "i", "o")
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -67,11 +73,17 @@ def edge_profile(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("id", *[F.coalesce(F.col(t) / F.col("n"), F.lit(0.0)).alias(t) for t in EDGE_TYPES])
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """id with its edges as lists, incoming and outgoing."""
+LIST_MOST = 100_000  # edges of a node that stand in one row
+
+
+def adjacency(edges: DataFrame, most: int = LIST_MOST) -> DataFrame:
+    """id, part and the node's edges as lists, incoming and outgoing. A node of more than `most`
+    edges has several parts, each with its next edges, incoming ones first."""
     item = F.struct("edge_type", "other", "weight")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("direction", "edge_type", "other", "weight")) - 1
+    cut = incident(edges).withColumn("part", F.floor(place / most).cast("int"))
     lists = [F.sort_array(F.collect_list(F.when(F.col("direction") == d, item))).alias(n) for d, n in (("in", "incoming"), ("out", "outgoing"))]
-    return incident(edges).groupBy("id").agg(*lists)
+    return cut.groupBy("id", "part").agg(*lists)
 
 
 def connections_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -125,7 +137,7 @@ def impact(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int
     max_depth + 1 hops away. Overviews are walked through but not returned."""
     ids = nodes.select(F.col("id").alias("__n"))
     back = edges.filter(F.col("edge_type").isin(*IMPACT_EDGES)).select(F.col("target_id").alias("__to"), F.col("source_id").alias("__from")).distinct()
-    back = back.join(ids, F.col("__from") == F.col("__n"), "left_semi")
+    back = materialize(back.join(ids, F.col("__from") == F.col("__n"), "left_semi"), "impact-edges")  # read at each hop
     front = starts.select(F.col("id").alias("start"), "id").distinct().join(ids, F.col("id") == F.col("__n"), "left_semi").withColumn("hop", F.lit(0))
     seen = front = materialize(front, "impact")
     for hop in range(1, max_depth + 2):
@@ -151,11 +163,12 @@ def containment_tree(nodes: DataFrame, edges: DataFrame, max_depth: int = 6, typ
     """(root, id, depth, path) from every node that is nobody's child (depth 0) down."""
     ids = nodes.select(F.col("id").alias("__n"))
     e = edges.filter(F.col("edge_type").isin(*types)).select(F.col("source_id").alias("__up"), F.col("target_id").alias("__down")).distinct()
+    e = materialize(e.join(ids, F.col("__down") == F.col("__n"), "left_semi"), "tree-edges")  # read at each depth
     front = nodes.select("id").join(e, F.col("id") == F.col("__down"), "left_anti").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), F.array("id").alias("path"))
     front = materialize(front, "tree")
     tree = front
     for depth in range(1, max_depth + 1):
-        nxt = front.join(e, F.col("id") == F.col("__up")).join(ids, F.col("__down") == F.col("__n"), "left_semi").filter(~F.array_contains(F.col("path"), F.col("__down")))
+        nxt = front.join(e, F.col("id") == F.col("__up")).filter(~F.array_contains(F.col("path"), F.col("__down")))
         front = materialize(nxt.select("root", F.col("__down").alias("id"), F.lit(depth).alias("depth"), F.array_append("path", F.col("__down")).alias("path")), "tree")
         if front.isEmpty():
             break
@@ -173,24 +186,32 @@ def prune_tree(tree: DataFrame, shown: DataFrame) -> DataFrame:
 GROUP_ORDER = [(t, d) for t in ("contains", "defines", "calls", "imports", "inherits", "implements", "uses", "references", "queries", "writes_to", "relates_to", "phase_contains", "fixed_by") for d in ("out", "in")]
 
 
+def _relations(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, edge_type, direction, other, __imp) of the starts, and the same with their position."""
+    rel = incident(edges).join(starts.select(F.col("id").alias("__s")).distinct(), F.col("id") == F.col("__s"), "left_semi").select("id", "edge_type", "direction", "other").distinct()
+    rel = rel.join(nodes.select(F.col("id").alias("other"), F.coalesce("importance", F.lit(0.0)).alias("__imp")), "other")
+    place = F.row_number().over(Window.partitionBy("id", "edge_type", "direction").orderBy(F.desc("__imp"), "other"))
+    return rel, rel.withColumn("position", place)
+
+
 def relationship_groups(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(id, edge_type, direction, group_rank, other, position): each start's relations, groups in
     GROUP_ORDER, others by importance."""
     rank = F.coalesce(*[F.when((F.col("edge_type") == t) & (F.col("direction") == d), F.lit(k)) for k, (t, d) in enumerate(GROUP_ORDER)], F.lit(len(GROUP_ORDER)))
-    rel = incident(edges).join(starts.select(F.col("id").alias("__s")).distinct(), F.col("id") == F.col("__s"), "left_semi").select("id", "edge_type", "direction", "other").distinct()
-    rel = rel.join(nodes.select(F.col("id").alias("other"), F.coalesce("importance", F.lit(0.0)).alias("__imp")), "other")
-    place = F.row_number().over(Window.partitionBy("id", "edge_type", "direction").orderBy(F.desc("__imp"), "other"))
-    return rel.select("id", "edge_type", "direction", rank.alias("group_rank"), "other", place.alias("position"))
+    return _relations(nodes, edges, starts)[1].select("id", "edge_type", "direction", rank.alias("group_rank"), "other", "position")
 
 
 def relationship_tree(nodes: DataFrame, edges: DataFrame, starts: DataFrame, max_hops: int = 2, per_group: int = 10) -> DataFrame:
     """(root, path, id, edge_type, direction, hop, back_reference, has_more): from each start the
-    first per_group relations of each group, then theirs; an ancestor is a leaf that refers back."""
+    first per_group relations of each group, then theirs; an ancestor is a leaf that refers back.
+    Groups are limited before their shuffle and counted apart, so a hub is never sorted whole."""
     front = starts.select(F.col("id").alias("root"), F.array("id").alias("path"), "id").distinct()
     out = None
+    group = ["id", "edge_type", "direction"]
     for hop in range(1, max_hops + 1):
-        groups = relationship_groups(nodes, edges, front)
-        step = groups.withColumn("__size", F.count("*").over(Window.partitionBy("id", "edge_type", "direction"))).filter(F.col("position") <= per_group).withColumnRenamed("id", "__at")
+        rel, placed = _relations(nodes, edges, front)
+        sizes = rel.groupBy(*group).agg(F.count("*").alias("__size"))
+        step = placed.filter(F.col("position") <= per_group).join(sizes, group).withColumnRenamed("id", "__at")
         rows = front.select("root", "path", F.col("id").alias("__from")).join(step, F.col("__from") == F.col("__at"))
         back = F.array_contains(F.col("path"), F.col("other"))
         rows = materialize(rows.select("root", F.array_append("path", F.col("other")).alias("path"), F.col("other").alias("id"), "edge_type", "direction", F.lit(hop).alias("hop"), back.alias("back_reference"), (F.col("__size") > per_group).alias("has_more")), "relations")
@@ -207,13 +228,20 @@ def last_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def resolve_edges(unresolved: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of target names: candidates have the name, or it as last dotted segment; one of the
-    same file comes first, then the smallest id. Names without a candidate are left out."""
-    keys = nodes.select("id", "file_path", F.explode(F.array_distinct(F.array("name", F.element_at(F.split("name", r"\."), -1)))).alias("target_name"))
-    u = unresolved.withColumn("__row", F.xxhash64("source_id", "target_name", "edge_type", "file_path"))
-    wanted = u.withColumn("target_name", F.explode(F.array_distinct(F.array("target_name", F.element_at(F.split("target_name", r"\."), -1))))).withColumnRenamed("file_path", "__file")
-    pick = Window.partitionBy("source_id", "edge_type", "__row").orderBy((F.col("file_path") == F.col("__file")).desc_nulls_last(), "id")
-    found = wanted.filter("target_name <> ''").join(keys, "target_name").withColumn("__n", F.row_number().over(pick)).filter("__n = 1")
-    return found.groupBy("source_id", F.col("id").alias("target_id"), "edge_type").agg(F.max("weight").alias("weight"), F.min("context").alias("context")).select("source_id", "target_id", "edge_type", "context", "weight")
+    same file comes first, then the smallest id. Names without a candidate are left out.
+
+    Candidates are first brought down to one for each name and file and one for each name, so a
+    name that very many nodes bear adds no more rows than any other."""
+    names = lambda c: F.explode(F.array_distinct(F.array(c, F.element_at(F.split(c, r"\."), -1))))
+    keys = nodes.select("id", F.col("file_path").alias("__file"), names("name").alias("target_name")).filter("target_name <> ''")
+    in_file = keys.groupBy("target_name", "__file").agg(F.min("id").alias("__near"))
+    anywhere = keys.groupBy("target_name").agg(F.min("id").alias("__any"))
+    asked = ["source_id", "edge_type", "__asked", "__file"]
+    wanted = unresolved.select("source_id", "edge_type", F.col("target_name").alias("__asked"), F.col("file_path").alias("__file"), "weight", "context", names("target_name").alias("target_name"))
+    met = wanted.join(anywhere, "target_name").join(in_file, ["target_name", "__file"], "left")
+    best = F.min(F.struct(F.col("__near").isNull().alias("far"), F.coalesce("__near", "__any").alias("id")))
+    found = met.groupBy(*asked).agg(best.alias("best"), F.max("weight").alias("weight"), F.min("context").alias("context"))
+    return found.groupBy("source_id", F.col("best.id").alias("target_id"), "edge_type").agg(F.max("weight").alias("weight"), F.min("context").alias("context")).select("source_id", "target_id", "edge_type", "context", "weight")
 
 
 def external_packages(unresolved: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -229,8 +257,8 @@ def overview_edges(nodes: DataFrame) -> DataFrame:
     from ..functions.scalars import dirname
 
     dirs = nodes.filter("node_type = 'directory_overview'").select(F.col("id").alias("__dir"), F.col("file_path").alias("__path"))
-    project = nodes.filter("node_type = 'project_overview'").select(F.col("id").alias("source_id"))
-    top = project.withColumn("__k", F.lit(1)).join(dirs.withColumn("__k", F.lit(1)), "__k").select("source_id", F.col("__dir").alias("target_id"), F.lit("contains").alias("edge_type"), F.lit(1.0).alias("weight"))
+    project = nodes.filter("node_type = 'project_overview'").agg(F.min("id")).first()[0]  # there is one
+    top = dirs.filter(F.lit(project is not None)).select(F.lit(project).cast("string").alias("source_id"), F.col("__dir").alias("target_id"), F.lit("contains").alias("edge_type"), F.lit(1.0).alias("weight"))
     modules = nodes.filter("node_type = 'module'").select(F.col("id").alias("target_id"), dirname(F.col("file_path")).alias("__path"))
     low = dirs.join(modules, "__path").select(F.col("__dir").alias("source_id"), "target_id", F.lit("contains").alias("edge_type"), F.lit(0.9).alias("weight"))
     return top.union(low)

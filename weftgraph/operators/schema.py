@@ -35,7 +35,7 @@ OTHER_WEIGHT = 0.05
 
 
 def _fields(*specs: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType(), "b": T.BooleanType(), "a": T.ArrayType(T.StringType()), "t": T.TimestampType(), "v": T.ArrayType(T.FloatType()), "l": T.LongType(), "m": T.MapType(T.StringType(), T.StringType())}
+    kinds = {"s": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType(), "b": T.BooleanType(), "a": T.ArrayType(T.StringType()), "t": T.TimestampType(), "v": T.ArrayType(T.FloatType()), "l": T.LongType(), "w": T.ArrayType(T.DoubleType()), "m": T.MapType(T.StringType(), T.StringType())}
     return T.StructType([T.StructField(n, kinds[k]) for k, names in (x.split(":") for x in specs) for n in names.split()])
 
 
@@ -51,8 +51,10 @@ INDEX_STATE = _fields("s:key last_commit", "t:last_full_index last_update", "l:t
 PACKAGE_DOCS = _fields("s:package_name registry version summary description homepage_url doc_url", "t:fetched_at")
 SESSION_LOG = _fields("s:session_id", "t:started_at ended_at", "m:data")
 TABLE_COLUMNS = _fields("s:table_name source_node_id language file_path column_name column_type", "b:is_primary is_nullable", "s:foreign_key", "i:ordinal")
+POSTINGS = _fields("s:node_id term", "l:tf text_hash")
+MODEL = _fields("s:term version", "i:idx", "d:idf mean", "w:load")
 
-SCHEMAS = {"nodes": NODES, "edges": EDGES, "unresolved": UNRESOLVED, "embeddings": EMBEDDINGS, "file_state": FILE_STATE, "index_state": INDEX_STATE, "package_docs": PACKAGE_DOCS, "session_log": SESSION_LOG}
+SCHEMAS = {"nodes": NODES, "edges": EDGES, "unresolved": UNRESOLVED, "embeddings": EMBEDDINGS, "file_state": FILE_STATE, "index_state": INDEX_STATE, "package_docs": PACKAGE_DOCS, "session_log": SESSION_LOG, "postings": POSTINGS, "model": MODEL}
 
 DEFAULTS: dict[str, object] = {"line_start": 0, "line_end": 0, "complexity": 1, "importance": 0.0, "is_public": True, "category": "codebase", "archived": False, "has_redacted_content": False, "summary_mode": "heuristic", "language": "python"}
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,38 +97,82 @@ def freshness(stored: DataFrame, current: DataFrame, now: Column, ttl_seconds: i
 # -- snapshots -----------------------------------------------------------------------------
 
 
+class Conflict(RuntimeError):
+    """Another writer changed a table after this store had read it."""
+
+
 class Store:
-    """Named tables under one folder, each a pointer file to its current snapshot.
+    """Named tables under one folder, each an immutable snapshot that the newest manifest names.
 
-    A write makes a new snapshot folder first and moves the pointer last, so readers see the old
-    or the new state, and a failed write leaves the old one.
+    A write makes new snapshot folders first and one new manifest last, so readers see all its
+    tables or none of them, and a failed write leaves the old state. Manifests are numbered and
+    each number can be made only once: of two writers the later one takes the next number if it
+    touched other tables, and gets a Conflict if what it had read is no longer current.
     """
 
+    KEPT = 3  # manifests that stay for readers that hold an older one
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._seen: dict[str, str | None] = {}
 
     def _path(self, *parts: str):
         return self._hadoop.Path("/".join((self.root, *parts)))
 
+    def _numbers(self) -> list[int]:
+        at = self._path("_manifests")
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _latest(self) -> tuple[int, dict[str, str]]:
+        numbers = self._numbers()
+        if not numbers:
+            return 0, {}
+        stream = self._fs.open(self._path("_manifests", f"{numbers[-1]:012d}"))
+        try:
+            return numbers[-1], json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, number: int, tables: dict[str, str]) -> bool:
+        """Make the manifest of that number, unless there is one."""
+        at = self._path("_manifests", f"{number:012d}")
+        try:
+            stream = self._fs.create(at, False)
+        except Py4JJavaError:
+            return False
+        stream.write(bytearray(json.dumps(tables).encode()))
+        stream.close()
+        return max(self._numbers()) == number
+
     def current(self, name: str) -> str | None:
-        pointers = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name, "_current"))) if self._fs.exists(self._path(name, "_current")) else []
-        return pointers[-1].split("~", 1)[1] if pointers else None
+        return self._latest()[1].get(name)
 
     def read(self, name: str) -> DataFrame:
-        at = self.current(name)
+        at = self._seen[name] = self.current(name)
         return S.empty(self.spark, S.SCHEMAS[name]) if at is None else self.spark.read.schema(S.SCHEMAS[name]).parquet(f"{self.root}/{name}/{at}").select(*S.SCHEMAS[name].names)
 
     def write(self, name: str, df: DataFrame) -> None:
-        snapshot = uuid.uuid4().hex
-        out = S.conform(df, S.SCHEMAS[name]).write
-        (out.partitionBy("category") if name == "nodes" else out).parquet(f"{self.root}/{name}/{snapshot}")
-        old = [s.getPath() for s in self._fs.listStatus(self._path(name, "_current"))] if self._fs.exists(self._path(name, "_current")) else []
-        number = max([int(p.getName().split("~")[0]) for p in old], default=0) + 1
-        self._fs.mkdirs(self._path(name, "_current", f"{number:012d}~{snapshot}"))  # creation is atomic
-        for p in old:
-            self._fs.delete(p, True)
+        self.write_all({name: df})
+
+    def write_all(self, tables: dict[str, DataFrame]) -> None:
+        """Replace the tables, all at once. Conflict if one of them is no longer what was read."""
+        made = {}
+        for name, df in tables.items():
+            made[name] = uuid.uuid4().hex
+            out = S.conform(df, S.SCHEMAS[name]).write
+            (out.partitionBy("category") if name == "nodes" else out).parquet(f"{self.root}/{name}/{made[name]}")
+        while True:
+            number, held = self._latest()
+            for name in made:
+                if self._seen.get(name, held.get(name)) != held.get(name):
+                    raise Conflict(f"{name} was changed by another writer")
+            if self._publish(number + 1, held | made):
+                break
+        self._seen |= made
+        for old in self._numbers()[: -self.KEPT]:
+            self._fs.delete(self._path("_manifests", f"{old:012d}"), False)
 
     def upsert(self, name: str, changes: DataFrame) -> None:
         schema = S.SCHEMAS[name]

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FTS_FIELDS = ("name", "summary_short", "docstring")
@@ -17,9 +20,25 @@ K1, B = 1.2, 0.75  # of BM25
 # -- search --------------------------------------------------------------------------------
 
 
+def _unmarked() -> tuple[str, str]:
+    """Letters with marks and what they are without, for letters of one code point."""
+    pairs = [(c, [x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)]) for c in map(chr, range(0xC0, 0x2000))]
+    held = [(c, base[0]) for c, base in pairs if len(base) == 1 and base[0] != c]
+    return "".join(c for c, _ in held), "".join(b for _, b in held)
+
+
+MARKED, UNMARKED = _unmarked()
+
+
+def plain(text: str) -> str:
+    """Lower case without marks: "Café" is "cafe"."""
+    return re.sub(r"[\u0300-\u036f]", "", text.lower().translate(str.maketrans(MARKED, UNMARKED)))
+
+
 def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits, without marks."""
+    bare = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, UNMARKED), r"[\u0300-\u036f]", "")
+    return F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def postings(nodes: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FTS_FIELDS) -> DataFrame:
@@ -28,6 +47,21 @@ def postings(nodes: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FTS
     return nodes.select(F.col(id_col).alias("node_id"), F.explode(words(text)).alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"))
 
 
+def indexed(nodes: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FTS_FIELDS) -> DataFrame:
+    """postings, each with a hash of the text that it is from."""
+    hashed = nodes.select(F.col(id_col).alias("__id"), F.xxhash64(F.concat_ws(" ", *fields)).alias("text_hash"))
+    return postings(nodes, id_col, fields).join(hashed, F.col("node_id") == F.col("__id")).drop("__id")
+
+
+def current_postings(stored: DataFrame, nodes: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FTS_FIELDS) -> DataFrame:
+    """Postings of nodes: the stored ones (see indexed) of texts that are as they were, those of
+    other nodes made anew. Only the texts' hashes are looked at where nothing changed."""
+    now = nodes.select(F.col(id_col).alias("node_id"), F.xxhash64(F.concat_ws(" ", *fields)).alias("text_hash"))
+    good = stored.join(now, ["node_id", "text_hash"], "left_semi").select("node_id", "term", "tf")
+    changed = now.join(stored, ["node_id", "text_hash"], "left_anti").select("node_id")
+    return good.unionByName(postings(nodes.join(changed, F.col(id_col) == F.col("node_id"), "left_semi"), id_col, fields))
+
+
 def refresh_postings(old: DataFrame, changed: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FTS_FIELDS) -> DataFrame:
     """Postings with those of the changed nodes made anew."""
     return old.join(changed.select(F.col(id_col).alias("node_id")), "node_id", "left_anti").unionByName(postings(changed, id_col, fields))
@@ -39,7 +73,7 @@ def bm25(index: DataFrame, query: str) -> DataFrame:
 
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); k1 and b as above; lengths in terms.
     """
-    prefixes = sorted({w.lower() for w in re.split(r"[^\w]+", query) if w})
+    prefixes = sorted({w for w in re.split(r"[\W_]+", plain(query)) if w})
     if not prefixes:
         return index.select("node_id", F.lit(0.0).alias("score")).limit(0)
     lengths = index.groupBy("node_id").agg(F.sum("tf").alias("length"))
@@ -84,6 +118,18 @@ SECRETS = (
 SENSITIVE = "secret|password|passwd|pwd|token|api_key|apikey|auth|credential|private_key|access_key"
 
 
+def _java_error(pattern: str) -> str:
+    """What Java, which runs the pattern, has against it; empty if nothing."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("patterns are checked by a running session")
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException) as e:
+        return str(e).split("\n")[0]
+    return ""
+
+
 @dataclass
 class Redaction:
     enabled: bool = True
@@ -97,11 +143,11 @@ class Redaction:
         with a warning."""
         out = [(p, f"[{label}]") for p, label in SECRETS] if self.builtin else []
         for p in self.custom:
-            try:
-                re.compile(p)
+            wrong = _java_error(p)
+            if wrong:
+                warnings.warn(f"the redaction pattern {p!r} is skipped: {wrong}", stacklevel=2)
+            else:
                 out.append((p, "[REDACTED_CUSTOM]"))
-            except re.error as e:
-                warnings.warn(f"the redaction pattern {p!r} is skipped: {e}", stacklevel=2)
         return out + [(rf"(?i)({names})\s*[:=]\s*(['\"])(.+?)\2", '$1 = "[REDACTED]"') for names in self.sensitive]
 
 
@@ -129,19 +175,29 @@ def redact_nodes(nodes: DataFrame, rules: Redaction | None = None) -> DataFrame:
 # -- summaries -----------------------------------------------------------------------------
 
 
+#: The labels of a description.
+LABELS = {"place": "Location: ", "doc": "Documentation: ", "marks": "Decorators: ", "complexity": "Complexity: ", "private": "Visibility: private/internal", "size": "Size: ", "unit": " lines", "module": "Module: ", "class": "class ", "file": "File: "}
+
+
 def detailed_summary() -> Column:
-    """A description of a node from its own fields, by its type."""
-    place = F.concat(F.lit("Location: "), "file_path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"))
-    doc = F.when(F.coalesce("docstring", F.lit("")) != "", F.concat(F.lit("Documentation: "), F.substring("docstring", 1, 300)))
-    marks = F.when(F.size(F.coalesce("decorators", F.array().cast("array<string>"))) > 0, F.concat(F.lit("Decorators: "), F.array_join("decorators", ", ")))
-    title = lambda before, what: F.concat(F.lit(f"**{before}"), what, F.lit("**"))
-    callee = F.concat_ws("\n", title("", F.coalesce(F.nullif("signature", F.lit("")), F.col("name"))), doc, place, F.concat(F.lit("Complexity: "), F.col("complexity").cast("string")), marks, F.when(~F.col("is_public"), "Visibility: private/internal"), F.concat(F.lit("Size: "), (F.col("line_end") - F.col("line_start") + 1).cast("string"), F.lit(" lines")))
-    return (
-        F.when(F.col("node_type").isin("function", "method"), callee)
-        .when(F.col("node_type") == "class", F.concat_ws("\n", title("class ", F.col("name")), doc, place, marks))
-        .when(F.col("node_type") == "module", F.concat_ws("\n", title("Module: ", F.col("name")), doc, F.concat(F.lit("File: "), "file_path")))
-        .otherwise(F.concat_ws("\n", F.concat(F.lit("**"), "node_type", F.lit(": "), "name", F.lit("**")), place))
-    )
+    """A description of a node: a bold title, then a line for each of its fields that says
+    something about a node of its type."""
+    label = lambda name, value: F.concat(F.lit(LABELS[name]), value)
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    kind = F.col("node_type")
+    callee, cls, module = kind.isin("function", "method"), kind == "class", kind == "module"
+    title = F.when(callee, F.coalesce(F.nullif("signature", F.lit("")), F.col("name"))).when(cls, label("class", F.col("name"))).when(module, label("module", F.col("name"))).otherwise(F.concat_ws(": ", "node_type", "name"))
+    lines = [
+        F.concat(F.lit("**"), title, F.lit("**")),
+        F.when((callee | cls | module) & (text("docstring") != ""), label("doc", F.substring("docstring", 1, 300))),
+        F.when(~module, label("place", F.concat("file_path", F.lit(":"), F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))))),
+        F.when(module, label("file", F.col("file_path"))),
+        F.when(callee, label("complexity", F.col("complexity").cast("string"))),
+        F.when((callee | cls) & (F.size(F.coalesce("decorators", F.array().cast("array<string>"))) > 0), label("marks", F.array_join("decorators", ", "))),
+        F.when(callee & ~F.col("is_public"), F.lit(LABELS["private"])),
+        F.when(callee, label("size", F.concat((F.col("line_end") - F.col("line_start") + 1).cast("string"), F.lit(LABELS["unit"])))),
+    ]
+    return F.concat_ws("\n", *lines)
 
 
 def summarize(nodes: DataFrame, mode: str = "ast_only", api_summaries: DataFrame | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ PRUNE = 0.10
 DECAY = 0.5
 TEXT_FIELDS = ("name", "signature", "docstring", "summary_short", "summary_detailed", "lsp_type_info", "lsp_hover_doc")
 WEIGHTS = {"similarity": 0.5, "importance": 0.3, "branch": 0.2, "name": 0.15}
-MOST_TERMS = 20_000  # terms up to which the decomposition takes their Gram matrix; above, products with it
+MOST_TERMS = 4096  # terms (a matrix of 134 MB) up to which the decomposition takes their Gram matrix; above, products with it
 TERM_CHUNK = 4096  # terms whose sums travel together
 SPARE = 8  # vectors that are iterated beyond those asked for
 RESIDUAL = 1e-7  # of the largest eigenvalue, that each vector asked for may be off
@@ -62,6 +62,21 @@ class Model:
     mean: np.ndarray
     version: str = MODEL_VERSION
 
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The model as a table: a row for each term, with its place in every component."""
+        at = [(i, self.components[:, i].tolist(), float(m), self.version) for i, m in enumerate(self.mean)]
+        loads = spark.createDataFrame(at, "idx int, load array<double>, mean double, version string")
+        return self.vocab.select("term", "idx", "idf").join(loads, "idx")
+
+
+def load_model(rows: DataFrame) -> Model | None:
+    """The model of a table that Model.rows made; None where it is empty. The driver holds a row
+    of numbers for each term, as when it was fitted."""
+    held = rows.select("idx", "load", "mean", "version").orderBy("idx").collect()
+    if not held:
+        return None
+    return Model(rows.select("term", "idx", "idf"), np.array([r["load"] for r in held]).T, np.array([r["mean"] for r in held]), held[0]["version"])
+
 
 def leading(product: Callable[[np.ndarray], np.ndarray], size: int, k: int, seed: int = 1) -> np.ndarray:
     """The k leading eigenvectors (columns) of a symmetric positive matrix of which only products

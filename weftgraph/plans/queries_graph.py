@@ -162,7 +162,17 @@ def relationship_groups(spark: SparkSession, sf: str) -> DataFrame:
     return graph.relationship_groups(n, star.edges(spark, sf), n.filter("node_type = 'class'"))
 
 
-@query()
+@query(f"""WITH {N}, {E}, own AS (SELECT id FROM nodes WHERE node_type <> 'type_def'), con AS (SELECT source_id, target_id FROM edges WHERE edge_type = 'contains'),
+rel AS (SELECT DISTINCT id, d, other FROM (SELECT source_id AS id, 'out' AS d, target_id AS other FROM con UNION ALL SELECT target_id, 'in', source_id FROM con) WHERE other IN (SELECT id FROM own)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY id, d ORDER BY other) AS pos, count(*) OVER (PARTITION BY id, d) AS size FROM rel),
+f0 AS (SELECT id AS root, [id] AS path, id FROM nodes WHERE node_type = 'module'),
+h1 AS (SELECT root, list_append(f.path, p.other) AS path, p.other AS id, p.d AS direction, 1 AS hop, list_contains(f.path, p.other) AS back_reference, size > 4 AS has_more FROM f0 f JOIN placed p ON p.id = f.id WHERE pos <= 4),
+f1 AS (SELECT DISTINCT root, path, id FROM h1 WHERE NOT back_reference),
+h2 AS (SELECT root, list_append(f.path, p.other) AS path, p.other AS id, p.d AS direction, 2 AS hop, list_contains(f.path, p.other) AS back_reference, size > 4 AS has_more FROM f1 f JOIN placed p ON p.id = f.id WHERE pos <= 4),
+f2 AS (SELECT DISTINCT root, path, id FROM h2 WHERE NOT back_reference),
+h3 AS (SELECT root, list_append(f.path, p.other) AS path, p.other AS id, p.d AS direction, 3 AS hop, list_contains(f.path, p.other) AS back_reference, size > 4 AS has_more FROM f2 f JOIN placed p ON p.id = f.id WHERE pos <= 4),
+f3 AS (SELECT DISTINCT root, path, id FROM h3 WHERE NOT back_reference)
+SELECT root, array_to_string(path, '/') AS path, id, 'contains' AS edge_type, direction, hop, back_reference, has_more FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3)""")
 def relationship_tree(spark: SparkSession, sf: str) -> DataFrame:
     n = star.nodes(spark, sf, "region", "nation", "customer", "supplier", "orders")
     tree = graph.relationship_tree(n, star.contains(spark, sf), n.filter("node_type = 'module'"), max_hops=3, per_group=4)
@@ -222,7 +232,10 @@ def directory_overview(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.directory_overview(star.nodes(spark, sf))
 
 
-@query()
+@query(f"""WITH {N}, c AS (SELECT node_type, count(*) AS n FROM nodes GROUP BY 1),
+s AS (SELECT 'Project: ' || (SELECT count(DISTINCT file_path) FROM nodes) || ' files, ' || (SELECT count(*) FROM nodes) || ' nodes. Top modules: ' || (SELECT string_agg(name, ', ' ORDER BY id) FROM (SELECT id, name FROM nodes WHERE node_type = 'module' ORDER BY id LIMIT 6)) || '.' AS short)
+SELECT substr(sha256('__project__::project_overview::root'), 1, 12) AS id, 'project overview' AS name, substr(short, 1, 200) AS summary_short, substr(short || chr(10) || (SELECT string_agg(node_type || ': ' || n, chr(10) ORDER BY node_type) FROM c) || chr(10) || 'Key entities: ' ||
+(SELECT string_agg(name, ', ' ORDER BY id) FROM (SELECT id, name FROM nodes WHERE node_type IN ('class', 'function') ORDER BY id LIMIT 5)), 1, 1000) AS summary_detailed FROM s""")
 def project_overview(spark: SparkSession, sf: str) -> DataFrame:
     return rollup.project_overview(star.nodes(spark, sf)).select("id", "name", "summary_short", "summary_detailed")
 

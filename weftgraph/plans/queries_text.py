@@ -59,7 +59,7 @@ def tfidf_top_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 POSTINGS = """
-post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM documents) GROUP BY 1, 2)"""
+post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS term FROM documents) GROUP BY 1, 2)"""
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:

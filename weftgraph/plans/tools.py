@@ -16,7 +16,8 @@ def search(store: Store, query: str, model: vectors.Model | None = None, limit:
     """(id, name, node_type, file_path, score, match_type) for `key:value` filters and free text.
 
     By vectors where a model is given, else (or if they find nothing) by BM25 and substrings.
-    Filters hold before the limit, so none of the best is lost to it.
+    Filters hold before the limit, so none of the best is lost to it. BM25 counts over all nodes,
+    from the stored postings; nodes that changed since are indexed anew.
     """
     found, words = filters.parse_query(query)
     nodes, edges = store.read("nodes"), store.read("edges")
@@ -29,7 +30,7 @@ def search(store: Store, query: str, model: vectors.Model | None = None, limit:
         ranked = vectors.semantic_search(allowed, edges, sims, words, limit).join(nodes.select("id", "name", "node_type", "file_path"), "id")
         if any(asked):
             return ranked.select(*shown).orderBy(F.desc("score"), "id")
-    ranked = text.search(allowed, text.postings(allowed), words, limit)
+    ranked = text.search(allowed, text.current_postings(store.read("postings"), nodes), words, limit)
     return ranked.withColumn("match_type", F.lit("text")).select(*shown).orderBy(F.desc("score"), "id")
 
 

@@ -165,12 +165,12 @@ def connection_kind(url: str) -> str:
 
 
 def find_connection(environ: dict[str, str], dotenv: str = "", compose: str = "") -> str | None:
-    """DATABASE_URL or DB_URL from the environment, a .env text, or a compose file."""
-    for name in ("DATABASE_URL", "DB_URL"):
+    """DATABASE_URL, DB_URL or DATABASE_URI from the environment, a .env text, or a compose file."""
+    for name in ("DATABASE_URL", "DB_URL", "DATABASE_URI"):
         if environ.get(name):
             return environ[name]
     for text in (dotenv, compose):
-        m = re.search(r"^\s*-?\s*(?:DATABASE_URL|DB_URL)\s*[=:]\s*[\"']?([^\s\"']+)", text, re.M)
+        m = re.search(r"^\s*-?\s*(?:DATABASE_URL|DB_URL|DATABASE_URI)\s*[=:]\s*[\"']?([^\s\"']+)", text, re.M | re.I)
         if m:
             return m[1]
     return None

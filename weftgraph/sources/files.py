@@ -55,30 +55,53 @@ def includes(languages: list[str]) -> list[str]:
 LISTED = "path string, file_path string, size long, modified timestamp"
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """LISTED rows of all files under root. The driver lists them (names only): Spark's own file
-    sources would pass over names that begin with an underscore, such as __init__.py."""
-    from datetime import datetime, timezone
+def _opened(path: str):
+    """(file system, path there) of a path as Hadoop writes it: nothing is escaped, and local ones
+    have one slash."""
+    from urllib.parse import quote
+
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(quote("file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path, safe=":/@"))
 
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """LISTED rows of all files under root. The driver lists the folders of the root only; each of
+    them is walked by the task that has its row. Spark's own file sources would pass over names
+    that begin with an underscore, such as __init__.py."""
     top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = fs.makeQualified(top).toString().rstrip("/") + "/"
-    rows, found = [], fs.listFiles(top, True)
-    while found.hasNext():
-        f = found.next()
-        path = f.getPath().toString()
-        rows.append((path, path.removeprefix(base), f.getLen(), datetime.fromtimestamp(f.getModificationTime() / 1000, timezone.utc)))
-    return spark.createDataFrame(rows, LISTED)
+    folders = [s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory()]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        for pdf in batches:
+            for folder, deep in zip(pdf["folder"], pdf["deep"]):
+                source, at = _opened(base)
+                at = at.rstrip("/")
+                open_ = [f"{at}/{folder}" if folder else at]
+                while open_:
+                    rows = []
+                    for f in source.get_file_info(pafs.FileSelector(open_.pop())):
+                        if f.type == pafs.FileType.Directory:
+                            open_ += [f.path] if deep else []
+                        elif f.type == pafs.FileType.File:
+                            name = f.path[len(at) + 1 :]
+                            rows.append((base + name, name, f.size, f.mtime))
+                    yield pd.DataFrame(rows, columns=["path", "file_path", "size", "modified"])
+
+    tops = spark.createDataFrame([("", False), *((f, True) for f in folders)], "folder string, deep boolean")
+    return tops.repartition(min(len(folders) + 1, 10_000)).mapInPandas(walk, LISTED)
 
 
 def read_contents(listed: DataFrame) -> DataFrame:
     """(file_path, content, modified, size) of listed files; each is read by the task that has
     its row. Bytes that are not UTF-8 are replaced; a file that is gone has no content."""
-    import pyarrow.fs as pafs
-
     def read(path: str) -> str | None:
         try:
-            fs, at = pafs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+            fs, at = _opened(path)
             with fs.open_input_stream(at, compression=None) as f:
                 return f.read().decode("utf-8", "replace")
         except OSError:

@@ -6,8 +6,12 @@ import ast
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..plans.shared import materialize
 
 NODE_SCHEMA = "id string, name string, node_type string, file_path string, line_start int, line_end int, signature string, docstring string, complexity int, is_public boolean, decorators array<string>, content_hash string, language string, raw_code string, summary_short string, category string"
 EDGE_SCHEMA = "source_id string, target_name string, edge_type string, context string, file_path string, weight double, ordinal long"
@@ -96,20 +100,21 @@ def parse_python(path: str, source: str) -> tuple[list[dict], list[dict]]:
 
 
 def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, unresolved edges) of (file_path, content); each a pass over its own columns."""
+    """(nodes, unresolved edges) of (file_path, content), from one pass over the files that is
+    stored: a row is a node or, where its target_name is not null, an edge."""
     from .other_code import parse_other
 
-    def parse(path: str, source: str | None) -> tuple[list[dict], list[dict]]:
-        return parse_python(path, source or "") if path.endswith(".py") else parse_other(path, source or "")
-
-    def run(which: int, columns: list[str]):
-        def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = [r for p, c in zip(pdf["file_path"], pdf["content"]) for r in parse(p, c)[which]]
-                yield pd.DataFrame(rows, columns=columns)
+    node_schema, edge_schema = T.StructType.fromDDL(NODE_SCHEMA), T.StructType.fromDDL(EDGE_SCHEMA)
+    both = T.StructType([*node_schema.fields, *(f for f in edge_schema.fields if f.name not in node_schema.names)])
+    layout = to_arrow_schema(both)
 
-        return go
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, source in zip(b["file_path"].to_pylist(), b["content"]):
+                made = parse_python if path.endswith(".py") else parse_other
+                nodes, edges = made(path, source.as_py() or "")
+                yield from pa.Table.from_pylist([*nodes, *edges], schema=layout).to_batches(max_chunksize=5000)
 
-    names = lambda schema: [x.strip().split(" ")[0] for x in schema.split(", ")]
     rows = files.select("file_path", "content").filter("file_path IS NOT NULL")
-    return rows.mapInPandas(run(0, names(NODE_SCHEMA)), NODE_SCHEMA), rows.mapInPandas(run(1, names(EDGE_SCHEMA)), EDGE_SCHEMA)
+    parsed = materialize(rows.mapInArrow(run, both), "parsed")
+    return parsed.filter("target_name IS NULL").select(*node_schema.names), parsed.filter("target_name IS NOT NULL").select(*edge_schema.names)
