@@ -136,11 +136,14 @@ def search_block(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray
     exact = np.empty(len(asks))
     for s in range(0, len(asks), PAIRS):
         exact[s : s + PAIRS] = np.einsum("pd,pd->p", q[asks[s : s + PAIRS]], x[rows[s : s + PAIRS]].astype(np.float64))
+    done = len(asks)
+    high = exact >= floor[asks]  # the others are not among the k best of all
+    asks, rows, exact = asks[high], rows[high], exact[high]
     order = np.lexsort((ids[rows], -exact, asks))
     asks, rows, exact = asks[order], rows[order], exact[order]
     n = np.bincount(asks, minlength=len(q))
     best = np.arange(len(asks)) - np.repeat(np.cumsum(n) - n, n) < k
-    return query_ids[asks[best]], ids[rows[best]], exact[best], len(asks)
+    return query_ids[asks[best]], ids[rows[best]], exact[best], done
 
 
 def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", probe: float = PROBE, sample: int = SAMPLE) -> DataFrame:
