@@ -52,6 +52,12 @@ def test_hot_lists_are_cut_and_ties_go_to_smaller_ids(spark, monkeypatch):
         assert [v for _, v in sorted(rows)] == [v for v in range(6) if v != q][:5]
 
 
+def test_few_probes_still_find_k_rows(spark):
+    x = np.random.default_rng(4).normal(size=(1500, 16))
+    got = ann.nearest(table(spark, x), F.col("vec_id") % 20 == 0, k=20, probe=0.1).groupBy("query_id").count().collect()
+    assert len(got) == 75 and {r["count"] for r in got} == {20}
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e-6, 1e-12])
 def test_short_vectors_are_ranked_like_long_ones(spark, scale):
     x = np.random.default_rng(8).normal(size=(400, 16)) * scale
@@ -63,7 +69,7 @@ def test_short_vectors_are_ranked_like_long_ones(spark, scale):
     index = ann.fit(x, 1)
     codes = index.encode(x, np.zeros(400, int))
     hits = 0
-    asks, ids, scores, _ = ann.search_block(index, np.arange(400), x, codes, 0, np.arange(0, 400, 40), x[::40], np.full(10, -np.inf), 5)
+    asks, ids, scores, _ = ann.search_block(index, np.arange(400), x, codes, 0, np.arange(0, 400, 40), x[::40], np.full((10, 5), -1), np.full(10, -np.inf), 5)
     for q in range(0, 400, 40):
         ids_of, score = ids[asks == q], scores[asks == q]
         s = x @ x[q]
@@ -92,11 +98,12 @@ def test_few_exact_products_are_computed():
         some = rng.permutation(20_000)[:4096]
         index = ann.fit(y[some], 64)
         own = index.assign(y)
-        codes, floor = index.encode(y, own), ann.floors(q, asks, some, y[some], 20)
+        codes, lists = index.encode(y, own), index.probes(q, 64)
+        known, floor = ann.floors(q, asks, some, y[some], 20, own[some], lists)
         done, hits, found = 0, 0, {int(a): [] for a in asks}
         for k in range(64):
             at = np.flatnonzero(own == k)
-            who, ids, score, n = ann.search_block(index, at, y[at], codes[at], k, asks, q, floor, 20)
+            who, ids, score, n = ann.search_block(index, at, y[at], codes[at], k, asks, q, known, floor, 20)
             done += n
             for a, i, s in zip(who.tolist(), ids.tolist(), score.tolist()):
                 found[a].append((-s, i))
@@ -110,9 +117,11 @@ def test_few_exact_products_are_computed():
 
 def test_lists_that_cannot_reach_the_floor_are_not_probed():
     index = ann.Index(np.array([[1.0, 0], [0, 1], [-1, 0]]), np.ones(3), np.ones(3), [0, 2], [])
-    got = index.probes(np.array([[2.0, 0]]), 3, np.array([0.5]), np.array([0.1, 0.3, 0.2]))
-    assert got[0].tolist() == [0, 1]
-    assert index.probes(np.array([[2.0, 0]]), 3, np.array([-np.inf]), np.array([0.1, -1, 0.2]))[0].tolist() == [0, 2]
+    q = np.array([[2.0, 0]])
+    lists = index.probes(q, 3)
+    assert lists.tolist() == [[0, 1, 2]]
+    assert index.reaching(q, lists, np.array([0.5]), np.array([0.1, 0.3, 0.2]))[0].tolist() == [0, 1]
+    assert index.reaching(q, lists, np.array([-np.inf]), np.array([0.1, -1, 0.2]))[0].tolist() == [0, 2]
 
 
 def test_recall_of_the_registered_query(spark):

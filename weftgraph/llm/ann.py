@@ -4,8 +4,8 @@ Coarse centroids and residual codebooks are fitted on a bounded sample; every ro
 it goes to the list of its nearest centroid, and its residual, divided by the list's mean
 residual length, is coded by one byte per sub-space. (Without that scale, a dense group of near
 copies would share a few codes.) A query probes the lists whose centroids have the largest inner
-product with it. The sample gives each query a floor: its k-th best inner product there, which
-its k-th best of all cannot be below. Lists that cannot reach the floor, by their centroid and
+product with it. The sample gives each query a floor: the k-th best inner product among its rows
+in lists that the query probes, which the k-th best found cannot be below. Lists that cannot reach the floor, by their centroid and
 their longest residual, are not probed. In a list the query's asymmetric table (inner products of
 its sub-vectors with all codewords) scores every row by table look-ups; rows whose score is below
 the floor, or the k-th best score of their block, by more than the list's coding error allows are
@@ -72,13 +72,15 @@ class Index:
             out[:, j] = np.argmax(rest[:, self.cuts[j] : self.cuts[j + 1]] @ book.T - (book**2).sum(axis=1) / 2, axis=1)
         return out
 
-    def probes(self, q: np.ndarray, n: int, floor: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
-        """For each query the n lists of the largest centroid products, without those that hold
-        nothing (reach below 0) or cannot come up to its floor."""
-        near = q @ self.centre.T
-        bound = near + np.sqrt((q**2).sum(axis=1))[:, None] * np.maximum(reach, 0) * (1 + 1e-9)
-        order = np.argsort(-near, axis=1, kind="stable")[:, :n]
-        return [o[(reach[o] >= 0) & (bound[i, o] >= floor[i])] for i, o in enumerate(order)]
+    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
+        """For each query the n lists of the largest centroid products, the nearest first."""
+        return np.argsort(-(q @ self.centre.T), axis=1, kind="stable")[:, :n]
+
+    def reaching(self, q: np.ndarray, lists: np.ndarray, floor: np.ndarray, reach: np.ndarray) -> list[np.ndarray]:
+        """Of each query's lists those that hold something (reach, their longest residual, is not
+        below 0) and can come up to its floor."""
+        bound = q @ self.centre.T + np.sqrt((q**2).sum(axis=1))[:, None] * np.maximum(reach, 0) * (1 + 1e-9)
+        return [o[(reach[o] >= 0) & (bound[i, o] >= floor[i])] for i, o in enumerate(lists)]
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Of each sub-space, the inner products of every query with every codeword."""
@@ -104,15 +106,20 @@ def fit(x: np.ndarray, lists: int, subspaces: int = 16, seed: int = 11) -> Index
     return index
 
 
-def floors(q: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """For each query a bound that its k-th best inner product is not below, from rows of the
-    table (ids, x); -inf where they are too few."""
+def floors(q: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, own: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the ids of its k best rows of the sample (ids, x; own: their lists) that lie
+    in lists that it probes, and a bound that none of them is below: so much can be found. -1 and
+    -inf where they are too few."""
     if len(x) <= k:
-        return np.full(len(q), -np.inf)
+        return np.full((len(q), k), -1), np.full(len(q), -np.inf)
     near = q @ x.T
     near[query_ids[:, None] == ids[None, :]] = -np.inf
-    least = np.partition(near, len(x) - k, axis=1)[:, len(x) - k]
-    return least - rounding(q, x)
+    probed = np.zeros((len(q), max(int(own.max()), int(lists.max())) + 1), bool)
+    np.put_along_axis(probed, lists, True, axis=1)
+    near[~probed[:, own]] = -np.inf
+    best = np.argpartition(near, len(x) - k, axis=1)[:, len(x) - k :]
+    least = np.take_along_axis(near, best, axis=1).min(axis=1)
+    return np.where((least > -np.inf)[:, None], ids[best], -1), least - rounding(q, x)
 
 
 def rounding(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -120,9 +127,10 @@ def rounding(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 4 * q.shape[1] * np.finfo(np.float64).eps * np.sqrt((q**2).sum(axis=1)) * np.sqrt((x**2).sum(axis=1).max(initial=0))
 
 
-def search_block(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, list_no: int, query_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query_id, id, exact score) of each query's k best rows of the block, and how many exact
-    inner products were computed for them."""
+def search_block(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, list_no: int, query_ids: np.ndarray, q: np.ndarray, known: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query_id, id, exact score) of each query's k best rows of the block that are not below
+    its floor, and how many exact inner products were computed for them. known: ids that are not
+    below it, whatever their codes say."""
     score = np.zeros((len(q), len(ids)), np.float32)
     for j, table in enumerate(index.tables(q)):
         score += table[:, codes[:, j]]
@@ -132,7 +140,12 @@ def search_block(index: Index, ids: np.ndarray, x: np.ndarray, codes: np.ndarray
     if len(ids) > k:
         least = np.maximum(least, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k])
     least -= BAND * np.sqrt((q**2).sum(axis=1) / q.shape[1]) * index.error[list_no] + 1e-6 * np.where(np.isfinite(least), np.abs(least), 0)
-    asks, rows = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    may = (score >= least[:, None]) & (score > -np.inf)
+    by_id = np.argsort(ids, kind="stable")
+    at = by_id[np.minimum(np.searchsorted(ids[by_id], known), len(ids) - 1)]
+    there, which = np.nonzero(ids[at] == known)
+    may[there, at[there, which]] = True
+    asks, rows = np.nonzero(may)
     exact = np.empty(len(asks))
     for s in range(0, len(asks), PAIRS):
         exact[s : s + PAIRS] = np.einsum("pd,pd->p", q[asks[s : s + PAIRS]], x[rows[s : s + PAIRS]].astype(np.float64))
@@ -186,20 +199,22 @@ def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str =
     blocks, reach = {r["list"]: -(-r["n"] // BLOCK) for r in held}, np.full(lists, -1.0)
     for r in held:
         reach[r["list"]] = r["far"]
-    looked = spark.sparkContext.broadcast((some_ids, some_x.astype(kind), reach))
+    looked = spark.sparkContext.broadcast((some_ids, some_x.astype(kind), index.assign(some_x), reach))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, far = looked.value
+        ids, x, own, far = looked.value
         for whole in batches:
             for s in range(0, whole.num_rows, 512):
                 b = whole.slice(s, 512)
                 q = matrix(b["vec"], dim, kind).astype(np.float64)
-                floor = floors(q, b["vec_id"].to_numpy(), ids, x.astype(np.float64), k)
-                got = Index(*shared.value).probes(q, n_probe, floor, far)
-                yield pa.RecordBatch.from_arrays([b["vec_id"], b["vec"], pa.array(floor), pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32()))], names=["vec_id", "vec", "floor", "lists"])
+                index = Index(*shared.value)
+                lists = index.probes(q, n_probe)
+                best, floor = floors(q, b["vec_id"].to_numpy(), ids, x.astype(np.float64), k, own, lists)
+                got = index.reaching(q, lists, floor, far)
+                yield pa.RecordBatch.from_arrays([b["vec_id"], b["vec"], pa.array(floor), pa.array([r.tobytes() for r in best.astype("<i8")], pa.binary()), pa.array([g.astype(np.int32) for g in got], pa.list_(pa.int32()))], names=["vec_id", "vec", "floor", "known", "lists"])
 
-    asked = materialize(coded.filter(query_filter).select("vec_id", "vec").distinct().mapInArrow(place, "vec_id long, vec binary, floor double, lists array<int>"), "ann-queries")
-    probed = asked.select("vec_id", "vec", "floor", F.explode("lists").alias("list"))
+    asked = materialize(coded.filter(query_filter).select("vec_id", "vec").distinct().mapInArrow(place, "vec_id long, vec binary, floor double, known binary, lists array<int>"), "ann-queries")
+    probed = asked.select("vec_id", "vec", "floor", "known", F.explode("lists").alias("list"))
     sets = {r["list"]: -(-r["n"] // QUERY_BLOCK) for r in probed.groupBy("list").agg(F.count("*").alias("n")).collect()}
 
     def looked_up(found: dict[int, int]) -> Column:
@@ -209,9 +224,9 @@ def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str =
         return F.explode(F.sequence(F.lit(0), count - 1))
 
     left = coded.withColumn("sets", looked_up(sets)).filter("sets > 0").withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), looked_up(blocks)).cast("int"))
-    left = left.select("list", "block", every(F.col("sets")).alias("set"), F.lit(0).alias("role"), "vec_id", "vec", "code", F.lit(None).cast("double").alias("floor"))
+    left = left.select("list", "block", every(F.col("sets")).alias("set"), F.lit(0).alias("role"), "vec_id", "vec", "code", F.lit(None).cast("double").alias("floor"), F.lit(None).cast("binary").alias("known"))
     right = probed.withColumn("blocks", looked_up(blocks)).filter("blocks > 0").withColumn("set", F.pmod(F.xxhash64("vec_id", "vec"), looked_up(sets)).cast("int"))
-    right = right.select("list", every(F.col("blocks")).alias("block"), "set", F.lit(1).alias("role"), "vec_id", "vec", F.lit(None).cast("binary").alias("code"), "floor")
+    right = right.select("list", every(F.col("blocks")).alias("block"), "set", F.lit(1).alias("role"), "vec_id", "vec", F.lit(None).cast("binary").alias("code"), "floor", "known")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Index(*shared.value)
@@ -229,7 +244,8 @@ def nearest(vectors: DataFrame, query_filter: Column, k: int = 20, id_col: str =
                     part = asks[s : s + 128]
                     q = matrix(t["vec"].take(pa.array(part)), dim, kind).astype(np.float64)
                     floor = t["floor"].take(pa.array(part)).to_numpy()
-                    asker, found, score, _ = search_block(own, ids[data], x, codes, int(which[a]), ids[part], q, floor, k)
+                    known = np.frombuffer(b"".join(t["known"].take(pa.array(part)).to_pylist()), "<i8").reshape(len(part), -1)
+                    asker, found, score, _ = search_block(own, ids[data], x, codes, int(which[a]), ids[part], q, known, floor, k)
                     yield pa.RecordBatch.from_arrays([pa.array(asker), pa.array(found), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     met = left.union(right.select(left.columns)).repartition("list", "block", "set").sortWithinPartitions("list", "block", "set")
