@@ -100,6 +100,15 @@ def test_encoder_equals_the_tokenizer():
     assert coder.encode(ODD_TEXTS) == [x[:-1].tobytes() for x in whole_ids(ODD_TEXTS)]
 
 
+def test_encoder_of_another_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    coder, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    assert not coder.by_words and packing.Encoder(tokenizer_file()).by_words
+    assert coder.encode(ODD_TEXTS) == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch([x or "" for x in ODD_TEXTS], add_special_tokens=False)]
+
+
 def check_packing(rows, ids, capacity):
     by = {}
     for r in rows:

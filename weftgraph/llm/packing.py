@@ -33,14 +33,22 @@ MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
 HIGH = re.compile("[\u0130-\U0010ffff]")
 
 
+#: What the shortcut must encode as the tokenizer does, or it is not taken.
+PROBE = [
+    "The Quick, brown FOX jumps.\nOver 12.5 lazy-dogs!  'Tis  a test, isn't it?", "na\u00efve \u00dcn\u00efc\u00f6d\u00e9 \u2014 \u201cquotes\u201d \u6771\u4eac, e\u0301a", " leading, trailing. \n\n",
+    "<b>x</b> a@b.co e=mc2 under_score CamelCase ALLCAPS 1,000.00", "tabs\tand\rreturns end.", "", "...,, a.b.c. x,y, \u0130stanbul",
+]
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, of any tokenizer.
 
-    The tokenizer composes characters, lower-cases, drops white space and never joins across it,
+    The one that this is made for composes characters, lower-cases, drops white space and never joins across it,
     nor between a letter or digit and a mark. So texts are cut at blanks and line feeds and before
     a full stop or comma that ends a word, each part is encoded for itself, and what comes again
     is looked up. Up to U+012F nothing needs composing, and Python lower-cases as the tokenizer
     does; such parts skip its normaliser, which takes most of its time, and words of letters its splitting.
+    Whether a tokenizer allows that is tried on PROBE; if not, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -58,6 +66,11 @@ class Encoder:
         for token, i in self.letters.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
+        self.by_words = True
+        self.by_words = self.encode(PROBE) == self.encode_whole(PROBE)
+
+    def encode_whole(self, texts: list[str | None]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
     def look_up(self, words: list[str]) -> None:
         plain = [w for w in words if not HIGH.search(w) and "<|" not in w and w == w.lower()]
@@ -86,6 +99,8 @@ class Encoder:
         return (text if "<|" in text or HIGH.search(text) else text.lower()).split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_words:
+            return self.encode_whole(texts)
         parts = [self.parts(t) for t in texts]
         known = self.words
         fresh = {s for p in parts for s in p if s not in known}
