@@ -17,6 +17,7 @@ from ..operators.schema import EDGES, NODES, TABLE_COLUMNS, conform
 
 # -- DDL and Prisma ------------------------------------------------------------------------
 
+#: The patterns of declarations, the clauses that are no columns, and the column types of Prisma.
 CREATE = re.compile(r"\bCREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?[`\"\[]?(?:\w+[`\"\]]?\.[`\"\[]?)?(\w+)[`\"\]]?\s*\(", re.I)
 COLUMN = re.compile(r"\s*[`\"\[]?(\w+)[`\"\]]?\s+(\w+(?:\s*\([^)]*\))?)")
 TABLE_LEVEL = ("PRIMARY KEY", "UNIQUE", "INDEX", "KEY", "CONSTRAINT", "FOREIGN KEY", "CHECK")
