@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from weftgraph.llm import packing, warc
+from weftgraph.llm import _common, packing, warc
 from weftgraph.llm.queries import tokenizer_file
 
 from .helpers import DOCS, odd_docs
@@ -169,3 +169,31 @@ def test_costs_are_balanced():
             cost[s] += n + 0.01 * n * n
     full = cost[: sum(r == 2048 for r in rooms)]
     assert full.std() / full.mean() < 0.2
+
+
+def test_encoder_keeps_words_that_come_again(monkeypatch):
+    coder, looked = packing.Encoder(tokenizer_file()), []
+    coder.words.clear()
+    monkeypatch.setattr(packing, "WORDS", 60)
+    monkeypatch.setattr(coder, "look_up", lambda words, f=coder.look_up: (looked.extend(words), f(words)))
+    for k in range(30):
+        texts = ["often, often", " ".join(f"new{k}x{i}" for i in range(10))]
+        assert coder.encode(texts) == coder.encode_whole(texts)
+        assert len(coder.words) + len(coder.old) <= 60
+    assert looked.count("often") == 1
+    many = [" ".join(f"w{i}" for i in range(200))]  # more than there is room for
+    assert coder.encode(many) == coder.encode_whole(many)
+    assert coder.encode(["often, often"]) == coder.encode_whole(["often, often"])
+
+
+def test_workers_keep_nothing_for_other_operators():
+    def task(batches):
+        _common.per_process("other:2", dict)
+        yield from batches
+
+    _common.per_process("mine:1", lambda: "kept")
+    assert list(_common.tidy(task, "mine:1")([1, 2])) == [1, 2]
+    assert _common.per_process("mine:1", lambda: "made again") == "kept"
+    list(_common.tidy(task)([]))
+    assert _common.per_process("mine:1", lambda: "made again") == "made again"
+    _common.release()

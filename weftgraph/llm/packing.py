@@ -24,11 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import col, per_process
+from ._common import col, per_process, tidy
 
 END_ID = 1
 POOL = 2_000_000  # tokens that are packed together
-WORDS = 1_500_000  # words whose ids a Python worker keeps at hand
+WORDS = 800_000  # words whose ids a Python worker keeps at hand, at about 200 bytes
 MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
 HIGH = re.compile("[\u0130-\U0010ffff]")
 
@@ -66,6 +66,7 @@ class Encoder:
         for token, i in self.letters.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # words that came before those; they go unless they come again
         self.by_words = True
         self.by_words = self.encode(PROBE) == self.encode_whole(PROBE)
 
@@ -102,12 +103,14 @@ class Encoder:
         if not self.by_words:
             return self.encode_whole(texts)
         parts = [self.parts(t) for t in texts]
-        known = self.words
-        fresh = {s for p in parts for s in p if s not in known}
-        if len(known) + len(fresh) > WORDS:
-            known.clear()
-            fresh = {s for p in parts for s in p}
-        self.look_up(list(fresh))
+        met = set().union(*parts)
+        fresh = met.difference(self.words)
+        if len(self.words) + len(fresh) > WORDS // 2:
+            self.old, self.words, fresh = self.words if len(self.words) <= WORDS // 2 else {}, {}, met
+        known, back = self.words, [w for w in fresh if w in self.old]
+        for w in back:
+            known[w] = self.old.pop(w)
+        self.look_up(list(fresh.difference(back)))
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
 
@@ -152,8 +155,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
     fields = [rows.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "capacity"))]
     fields += [T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids
 
+    key = f"encoder:{tokenizer_path}"
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = per_process(f"encoder:{tokenizer_path}", lambda: Encoder(tokenizer_path))
+        coder = per_process(key, lambda: Encoder(tokenizer_path))
         number = TaskContext.get().partitionId() << 36  # sequences of a task count on from here
         tails: list[tuple] = []  # (id, start, ids, tokens of the document)
         held = 0
@@ -200,4 +205,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str
         if tails or out:
             yield from flush()
 
-    return rows.mapInArrow(run, T.StructType(fields))
+    return rows.mapInArrow(tidy(run, key), T.StructType(fields))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import col
+from ._common import col, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -460,7 +460,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", labelled: list[tuple[list[
                 clean = pa.array([None if t is None else redact(t, g[1]) for t, g in zip(texts, got)], pa.string())
                 yield pa.RecordBatch.from_arrays([*b.columns, *packed, clean], names=[*b.schema.names, *made])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("base_spans", span), T.StructField("spans", span), T.StructField("redacted", T.StringType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([*rows.schema.fields, T.StructField("base_spans", span), T.StructField("spans", span), T.StructField("redacted", T.StringType())]))
 
 
 def span_text(spans: list) -> str:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import col, materialize
+from ._common import col, materialize, tidy
 from .components import Forest, connected_components, grow, sorted_runs
 from .shingles import set_links, shingle_set
 
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, fp long")
 
 
 def wide_fingerprint(hashes: np.ndarray, lanes: int = LANES) -> np.ndarray:
@@ -284,13 +284,13 @@ def links_by_plan(distinct: DataFrame, chosen: list[tuple[list[int], int]], radi
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
     # Parts of more than 56 positions, whose keys would not fit, are in no plan.
-    probes = distinct.select("node", *every).mapInArrow(probe, "key long, node long, " + "".join(f"{c} long, " for c in names) + "role int")
+    probes = distinct.select("node", *every).mapInArrow(tidy(probe), "key long, node long, " + "".join(f"{c} long, " for c in names) + "role int")
     large = probes.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > TILE)
     chunks = F.ceil(F.coalesce("n", F.lit(1)) / TILE).cast("int")
     tiled = probes.join(large, "key", "left").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiled = tiled.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *names, "role")
-    return tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(verify, "a long, b long")
+    return tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(verify), "a long, b long")
 
 
 def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
@@ -391,7 +391,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     rows = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("text_hash"), col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    own = materialize(rows.mapInArrow(sign, f"doc_id {kind}, text_hash long, node long, " + "".join(f"{c} long, " for c in lanes) + "size long"), "shingles")
+    own = materialize(rows.mapInArrow(tidy(sign), f"doc_id {kind}, text_hash long, node long, " + "".join(f"{c} long, " for c in lanes) + "size long"), "shingles")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash")))
     distinct = materialize(own.groupBy("node").agg(low.alias("low"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in lanes]), "shingles-distinct")
     near = connected_components(similar_links(distinct.filter("size > 0"), similarity))
@@ -407,7 +407,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 part = b.slice(s, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([shingle_set(t.as_py(), words).tobytes() for t in part["text"]], pa.binary())], ["node", "root", *lanes, "hashes"])
 
-    sets = materialize(asked.dropDuplicates(["node"]).mapInArrow(cut, "node long, root long, " + "".join(f"{c} long, " for c in lanes) + "hashes binary"), "shingles-sets")
+    sets = materialize(asked.dropDuplicates(["node"]).mapInArrow(tidy(cut), "node long, root long, " + "".join(f"{c} long, " for c in lanes) + "hashes binary"), "shingles-sets")
     sizes = sets.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SETS, F.sum(F.length("hashes")) / SET_BYTES)).cast("int").alias("chunks"))
     tiled = sets.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -428,6 +428,6 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
     met = tiled.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    roots = connected_components(met.mapInArrow(verify, "a long, b long")).withColumnRenamed("node", "member")
+    roots = connected_components(met.mapInArrow(tidy(verify), "a long, b long")).withColumnRenamed("node", "member")
     placed = distinct.join(roots, F.col("node") == F.col("member"), "left").select("low", F.coalesce("root", "node").alias("root"))
     return keep_first(docs, placed, id_col, text_col)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import col, materialize
+from ._common import col, materialize, tidy
 
 WORD = re.compile(r"\w+")
 GRAMS = (3, 4, 5)
@@ -109,8 +109,8 @@ class Model:
             cache.clear()
             fresh = list({w for ws in tokens for w in ws})
             own = {} if len(fresh) > CACHE else cache
-        for k in range(0, len(fresh), 50_000):
-            own.update(zip(fresh[k : k + 50_000], self.word_scores(fresh[k : k + 50_000]).tolist()))
+        for k in range(0, len(fresh), 10_000):
+            own.update(zip(fresh[k : k + 10_000], self.word_scores(fresh[k : k + 10_000]).tolist()))
         out = np.empty(len(texts))
         for i, ws in enumerate(tokens):
             total = np.concatenate([[0.0], np.cumsum(np.fromiter(map(own.__getitem__, ws), np.float64, len(ws)))])
@@ -256,4 +256,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     rows = docs.select(*[col(c) for c in keep])
     schema = T.StructType([*rows.schema.fields, T.StructField(score_name, T.DoubleType()), T.StructField(predicted_name, T.IntegerType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
