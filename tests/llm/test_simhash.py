@@ -6,7 +6,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftgraph.llm import simhash
-from weftgraph.llm.components import Forest, connected_components, grow, label
+from weftgraph.llm import components as components_module
+from weftgraph.llm.components import Forest, connected_components, grow, label, thinned
 
 from .helpers import DOCS, components, odd_docs, pairs
 
@@ -167,3 +168,26 @@ def test_forest_keeps_the_components():
         f.add(i[k : k + 10], j[k : k + 10])
     a, b = f.star()
     assert (label(500, a, b) == label(500, i, j)).all() and len(a) < 500
+
+
+@pytest.mark.parametrize("most", [50, 400_000])
+def test_thinned_links_keep_the_components(spark, most):
+    rng = np.random.default_rng(1)
+    links = [(1000 + n, h) for n in range(300) for h in rng.permutation(12)[:8].tolist()] + [(5000 + k, 5001 + k) for k in range(60)] + [(3, 3)]
+    df = spark.createDataFrame(links, "a long, b long").union(spark.sql("SELECT CAST(NULL AS LONG), 5L")).repartition(3)
+    thin = thinned(df, most=most)
+    got, want = ({r["node"]: r["root"] for r in connected_components(x).collect()} for x in (thin, df))
+    assert got == want and thin.count() < (len(links) if most == 50 else 300 + 4 * 12 + 2 * 60)
+    assert thinned(df.filter(F.lit(False))).count() == 0
+
+
+def test_a_group_that_meets_in_many_buckets_has_few_links(spark, monkeypatch):
+    r = random.Random(3)
+    words = [f"w{r.random()}" for _ in range(300)]
+    rows = [(k, " ".join(words[:n] + [f"x{k}"] + words[n + 1 :]), "en", "s", 1) for k in range(400) for n in [r.randrange(300)]]
+    monkeypatch.setattr(simhash, "TILE", 64)
+    links = []
+    held = components_module.materialize
+    monkeypatch.setattr(components_module, "materialize", lambda df, label: (out := held(df, label), links.append(out.count()))[0])
+    assert [d["doc_id"] for d in simhash.drop_similar(spark.createDataFrame(rows, DOCS)).collect()] == [0]
+    assert links[0] <= 4 * len(rows)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, materialize
+from ._common import discard, materialize, tidy
 
 
 def label(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -108,6 +108,35 @@ def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int =
         yield done, group
 
 
+def forest_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node of its component) that join the same nodes as u[k]-v[k]."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = label(len(names), at[: len(u)], at[len(u) :])
+    node = np.flatnonzero(root != np.arange(len(names)))
+    return names[node], names[root[node]]
+
+
+def thinned(links: DataFrame, a: str = "a", b: str = "b", most: int = Forest.MOST) -> DataFrame:
+    """Links (a, b) that join the same nodes, fewer where many nodes have links to the same few
+    smaller ones, as groups have that meet in many buckets: all links of a larger end go to one
+    task, and of `most` links at a time it hands on a spanning forest."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = v = np.empty(0, np.int64)
+        for t in batches:
+            u, v = np.concatenate([u, t["a"].to_numpy()]), np.concatenate([v, t["b"].to_numpy()])
+            if len(u) >= most:
+                u, v = forest_of(u, v)
+                if 2 * len(u) >= most:
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+                    u = v = u[:0]
+        u, v = forest_of(u, v)
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
+
+    ends = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    return ends.repartition("a").mapInArrow(tidy(run), "a long, b long")
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link but the roots themselves; root: the smallest node
     of the component.

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import col, materialize, tidy
-from .components import Forest, connected_components, grow, sorted_runs
+from .components import Forest, connected_components, grow, sorted_runs, thinned
 from .shingles import set_links, shingle_set
 
 BITS = 64  # of a lane
@@ -290,7 +290,7 @@ def links_by_plan(distinct: DataFrame, chosen: list[tuple[list[int], int]], radi
     tiled = probes.join(large, "key", "left").withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tiled = tiled.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *names, "role")
-    return tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(tidy(verify), "a long, b long")
+    return tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(tidy(verify), "a long, b long")
 
 
 def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
@@ -394,7 +394,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = materialize(rows.mapInArrow(tidy(sign), f"doc_id {kind}, text_hash long, node long, " + "".join(f"{c} long, " for c in lanes) + "size long"), "shingles")
     low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash")))
     distinct = materialize(own.groupBy("node").agg(low.alias("low"), F.first("size").alias("size"), *[F.first(c).alias(c) for c in lanes]), "shingles-distinct")
-    near = connected_components(similar_links(distinct.filter("size > 0"), similarity))
+    near = connected_components(thinned(similar_links(distinct.filter("size > 0"), similarity)))
     groups = materialize(near.union(near.select(F.col("root").alias("node"), "root").distinct()), "shingles-groups")
 
     # One text of each set that is in a group, as a set again.
@@ -427,7 +427,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             x, y = forest.star()
             yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
 
-    met = tiled.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    met = tiled.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
     roots = connected_components(met.mapInArrow(tidy(verify), "a long, b long")).withColumnRenamed("node", "member")
     placed = distinct.join(roots, F.col("node") == F.col("member"), "left").select("low", F.coalesce("root", "node").alias("root"))
     return keep_first(docs, placed, id_col, text_col)
