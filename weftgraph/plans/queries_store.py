@@ -12,6 +12,7 @@ from ..operators import filters, graph, lifecycle, schema, store, text
 from ..sources import database, files
 from . import starschema as star, tools
 from .queries_text import POSTINGS, _docs, _sql_redaction
+from .shared import spread
 
 N, E, T = star.NODES_SQL, star.EDGES_SQL, star.TASKS_SQL
 QUERIES: dict = {}
@@ -246,7 +247,7 @@ def told_summaries(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT 'f' || c_custkey, 'table::nation_' || (c_custkey % 25), 'writes_to', 'nation_' || (c_custkey % 25) FROM customer WHERE c_custkey % 3 = 0""")
 def traced_queries(spark: SparkSession, sf: str) -> DataFrame:
     n = star.table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("k"))
-    c = star.table(spark, sf, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").cast("string").alias("k"))
+    c = spread(star.table(spark, sf, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").cast("string").alias("k")))
     pad = F.repeat(F.lit("    x = 1\n"), (F.col("c") % 97 * 13).cast("int"))  # some bodies are long
     code = F.concat(F.lit("def f():\n"), pad, F.lit("    a = session.query(Nation"), "k", F.lit(").all()\n"), F.when(F.col("c") % 3 == 0, F.concat(F.lit('    run("UPDATE nation_'), (F.col("c") % 25).cast("string"), F.lit(' SET a = 1")\n'))).otherwise(""))
     row = lambda i, name, kind, raw: (i.alias("id"), name.alias("name"), F.lit(kind).alias("node_type"), raw.alias("raw_code"), F.lit("python").alias("language"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -244,39 +245,43 @@ def schema_graph(columns: DataFrame, database: str = "default") -> tuple[DataFra
 # -- queries in code -----------------------------------------------------------------------
 
 NAME = r"([`\"\[]?\w+[`\"\]]?)"
-#: Fixed values: (languages, pattern, whether it writes, what its name is: sql, class, object, table).
+#: Fixed values: (languages, pattern, whether it writes, what its name is: sql, class, object, table,
+#: letters that each match holds, in lower case: texts without them are not searched).
 TRACES = (
-    ("", rf"(?is)\bSELECT\b.{{0,200}}?\bFROM\s+{NAME}", False, "sql"),
-    ("", rf"(?i)\bINSERT\s+INTO\s+{NAME}", True, "sql"),
-    ("", rf"(?i)\bUPDATE\s+{NAME}\s+SET\b", True, "sql"),
-    ("", rf"(?i)\bDELETE\s+FROM\s+{NAME}", True, "sql"),
-    ("python", r"\b(?:session|db\.session)\.query\(\s*(\w+)", False, "class"),
-    ("python", r"\bselect\(\s*(\w+)", False, "class"),
-    ("python", r"\b(\w+)\.query\s*\.\s*(?:filter|get|all|first|one|count|paginate)\b", False, "class"),
-    ("python", r"\b(?:session|db\.session)\.(?:add|merge|delete)\(\s*(\w+)", True, "object"),
-    ("python", r"\b(?:insert|update|delete)\(\s*(\w+)", True, "class"),
-    ("python", r"\b(\w+)\.objects\.(?:filter|get|all|values|values_list|annotate|aggregate|first|last|count|exists|select_related|prefetch_related|exclude|order_by|distinct)\b", False, "class"),
-    ("python", r"\b(\w+)\.objects\.(?:create|update|bulk_create|bulk_update|get_or_create|update_or_create|delete)\b", True, "class"),
-    ("typescript javascript", r"getRepository\(\s*(\w+)\s*\)", False, "class"),
-    ("typescript javascript", r"createQueryBuilder\(\s*[\"']?(\w+)[\"']?\s*\)", False, "class"),
-    ("typescript javascript", r"getRepository\(\s*(\w+)\s*\)\.(?:save|insert|update|delete|remove)\b", True, "class"),
-    ("go", r"\bdb\.(?:First|Find|Take|Scan|Pluck|Count|Row|Rows)\s*\(\s*&\s*(\w+)", False, "object"),
-    ("go", r"\bdb\.(?:Create|Save|Updates|Update)\s*\(\s*&\s*(\w+)", True, "object"),
-    ("go", r"\bdb(?:\.Unscoped\(\))?\.Delete\s*\(\s*&\s*(\w+)", True, "object"),
-    ("rust", r"\b(\w+)::table\s*\.\s*(?:filter|select|load|first|get_result|count)\b", False, "table"),
-    ("rust", r"diesel::(?:insert_into|update|delete)\(\s*(\w+)::table\s*\)", True, "table"),
+    ("", rf"(?is)\bSELECT\b.{{0,200}}?\bFROM\s+{NAME}", False, "sql", ("select",)),
+    ("", rf"(?i)\bINSERT\s+INTO\s+{NAME}", True, "sql", ("nsert",)),
+    ("", rf"(?i)\bUPDATE\s+{NAME}\s+SET\b", True, "sql", ("update",)),
+    ("", rf"(?i)\bDELETE\s+FROM\s+{NAME}", True, "sql", ("delete",)),
+    ("python", r"\b(?:session|db\.session)\.query\(\s*(\w+)", False, "class", ("session.query(",)),
+    ("python", r"\bselect\(\s*(\w+)", False, "class", ("select(",)),
+    ("python", r"\b(\w+)\.query\s*\.\s*(?:filter|get|all|first|one|count|paginate)\b", False, "class", (".query",)),
+    ("python", r"\b(?:session|db\.session)\.(?:add|merge|delete)\(\s*(\w+)", True, "object", ("session.",)),
+    ("python", r"\b(?:insert|update|delete)\(\s*(\w+)", True, "class", ("insert(", "update(", "delete(")),
+    ("python", r"\b(\w+)\.objects\.(?:filter|get|all|values|values_list|annotate|aggregate|first|last|count|exists|select_related|prefetch_related|exclude|order_by|distinct)\b", False, "class", (".objects.",)),
+    ("python", r"\b(\w+)\.objects\.(?:create|update|bulk_create|bulk_update|get_or_create|update_or_create|delete)\b", True, "class", (".objects.",)),
+    ("typescript javascript", r"getRepository\(\s*(\w+)\s*\)", False, "class", ("getrepository(",)),
+    ("typescript javascript", r"createQueryBuilder\(\s*[\"']?(\w+)[\"']?\s*\)", False, "class", ("createquerybuilder(",)),
+    ("typescript javascript", r"getRepository\(\s*(\w+)\s*\)\.(?:save|insert|update|delete|remove)\b", True, "class", ("getrepository(",)),
+    ("go", r"\bdb\.(?:First|Find|Take|Scan|Pluck|Count|Row|Rows)\s*\(\s*&\s*(\w+)", False, "object", ("db.",)),
+    ("go", r"\bdb\.(?:Create|Save|Updates|Update)\s*\(\s*&\s*(\w+)", True, "object", ("db.",)),
+    ("go", r"\bdb(?:\.Unscoped\(\))?\.Delete\s*\(\s*&\s*(\w+)", True, "object", (".delete",)),
+    ("rust", r"\b(\w+)::table\s*\.\s*(?:filter|select|load|first|get_result|count)\b", False, "table", ("::table",)),
+    ("rust", r"diesel::(?:insert_into|update|delete)\(\s*(\w+)::table\s*\)", True, "table", ("diesel::",)),
 )
 
 
 def table_refs(code: DataFrame, id_col: str = "id", text_col: str = "raw_code", language_col: str = "language") -> DataFrame:
     """(id, name, kind, edge_type): what each text says it reads (queries) or writes (writes_to)."""
     hits = []
-    for languages, pattern, writes, kind in TRACES:
-        found = F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(pattern), F.lit(1))
+    for languages, pattern, writes, kind, needs in TRACES:
+        may = reduce(lambda a, b: a | b, [F.col("__low").contains(n) for n in needs])
         if languages:
-            found = F.when(F.col(language_col).isin(*languages.split()), found).otherwise(F.array().cast("array<string>"))
+            may = F.col("__language").isin(*languages.split()) & may
+        found = F.when(may, F.regexp_extract_all("__text", F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
         hits.append(_hits(found, kind, writes))
-    return code.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.flatten(F.array(*hits)))).alias("x")).select("id", "x.name", "x.kind", "x.edge_type")
+    text = F.coalesce(text_col, F.lit(""))
+    code = code.select(F.col(id_col).alias("id"), text.alias("__text"), F.lower(text).alias("__low"), F.col(language_col).alias("__language"))
+    return code.select("id", F.explode(F.array_distinct(F.flatten(F.array(*hits)))).alias("x")).select("id", "x.name", "x.kind", "x.edge_type")
 
 
 def _hits(found: Column, kind: str, writes: bool) -> Column:
