@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import filters, graph, schema, store
+from weftgraph.plans import shared, starschema
 
 NODE = "id string, name string, node_type string, file_path string, is_public boolean, category string, archived boolean, importance double"
 
@@ -263,3 +264,11 @@ def test_scratch_deletes_what_is_not_kept(spark):
         materialize(nodes(spark, "a"), "scratch-gone")
         held = keep(materialize(nodes(spark, "a", "b"), "scratch-kept"))
     assert held.count() == 2 and not glob.glob(f"{folder}/scratch-gone-*") and glob.glob(f"{folder}/scratch-kept-*")
+
+
+def test_tasks_group_no_more_lines_when_the_table_grows(spark, sf_dir, monkeypatch):
+    assert shared.deal(spark.range(1000), "id", rows=100).rdd.getNumPartitions() == 10
+    monkeypatch.setitem(shared.deal.__kwdefaults__, "rows", 200)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    made = starschema.edges(spark, sf_dir).filter("edge_type <> 'contains'")
+    assert made.rdd.getNumPartitions() >= 2 * (lines // 200)  # as many as the session's shuffles before

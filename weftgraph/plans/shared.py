@@ -80,6 +80,17 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
+TASK_ROWS = 500_000  # rows that a task groups at most, so that its memory does not grow with the table
+
+
+def deal(df: DataFrame, *columns: str, rows: int = TASK_ROWS) -> DataFrame:
+    """df by the hash of columns over as many partitions as keep a task at about `rows` rows, and
+    at least one for each core. For groups that hardly shrink the table: nothing is combined before
+    the shuffle, and adaptive execution doesn't join partitions."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n, *columns)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores: a table of one small file is read
     by one task otherwise. Larger tables stay as they are."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import deal
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,8 +59,8 @@ def contains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contains, orders use parts (weight: quantity), suppliers query parts (weight: lines)."""
     line = table(spark, sf_dir, "lineitem")
-    uses = line.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("weight")).select(key("orders", "l_orderkey").alias("source_id"), key("part", "l_partkey").alias("target_id"), F.lit("uses").alias("edge_type"), "weight")
-    asks = line.groupBy("l_suppkey", "l_partkey").agg(F.count("*").cast("double").alias("weight")).select(key("supplier", "l_suppkey"), key("part", "l_partkey"), F.lit("queries"), "weight")
+    uses = deal(line.select("l_orderkey", "l_partkey", "l_quantity"), "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("weight")).select(key("orders", "l_orderkey").alias("source_id"), key("part", "l_partkey").alias("target_id"), F.lit("uses").alias("edge_type"), "weight")
+    asks = deal(line.select("l_suppkey", "l_partkey"), "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.count("*").cast("double").alias("weight")).select(key("supplier", "l_suppkey"), key("part", "l_partkey"), F.lit("queries"), "weight")
     return contains(spark, sf_dir).union(uses).union(asks)
 
 
