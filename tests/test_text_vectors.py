@@ -155,3 +155,17 @@ def test_layouts(spark):
     assert xy.min() == pytest.approx(-1) and xy.max() == pytest.approx(1)
     ring = [r["coords"] for r in vectors.pca(df.limit(2)).orderBy("id").collect()]
     assert ring == [[1.0, 0.0], [-1.0, 0.0]]
+
+
+def test_terms_are_counted_where_the_rows_lie(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "aa bb aa cc")], "id long, t string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    made = [text.postings(docs, "id", ("t",)), text.indexed(docs, "id", ("t",)), vectors.term_counts(docs, "id", F.col("t"))]
+    assert not any("Exchange" in plan(df) for df in made)  # all postings were shuffled before
+    assert sorted(map(tuple, made[0].collect())) == [(1, "a", 1), (1, "b", 2), (4, "aa", 2), (4, "bb", 1), (4, "cc", 1)]
+    weights, _ = vectors.tfidf(docs, "id", F.col("t"))
+    assert "Broadcast" in plan(weights)  # a short vocabulary
+    twice = docs.union(docs)  # ids that repeat count together, as in SQL
+    assert sorted(map(tuple, text.postings(twice, "id", ("t",)).collect())) == [(1, "a", 2), (1, "b", 4), (4, "aa", 4), (4, "bb", 2), (4, "cc", 2)]
+    found = text.bm25(text.postings(docs, "id", ("t",)), "a")
+    assert {r["node_id"] for r in found.collect()} == {1, 4} and "Join" not in plan(found)

@@ -57,6 +57,17 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(humps), "[^a-z0-9]+"), lambda t: F.length(t) >= 2)
 
 
+def run_starts(values: Column) -> Column:
+    """The places of a sorted array at which its runs of equal values begin, and its length."""
+    return F.filter(F.sequence(F.lit(0), F.size(values)), lambda i: (i == 0) | (i == F.size(values)) | (F.get(values, i) != F.get(values, i - 1)))
+
+
+def runs(values: Column, starts: Column) -> Column:
+    """(term, n) for each run of equal values of a sorted array, of its run_starts."""
+    pairs = F.zip_with(starts, F.slice(starts, 2, 1 << 30), lambda a, b: F.struct(F.get(values, a).alias("term"), (b - a).cast("long").alias("n")))
+    return F.filter(pairs, lambda x: x["n"].isNotNull())
+
+
 def compose_text(*parts: Column) -> Column:
     """The parts that are not empty, joined by blanks."""
     return F.concat_ws(" ", *[F.nullif(p, F.lit("")) for p in parts])

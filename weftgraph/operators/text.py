@@ -13,6 +13,9 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import run_starts, runs
+from ..plans.shared import materialize
+
 FTS_FIELDS = ("name", "summary_short", "docstring")
 K1, B = 1.2, 0.75  # of BM25
 
@@ -41,15 +44,33 @@ def words(text: Column) -> Column:
     return F.filter(F.split(bare, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def unique(rows: DataFrame, id_col: str) -> bool:
+    """Whether no id occurs twice; only ids are shuffled."""
+    return rows.groupBy(id_col).agg(F.count("*").alias("__n")).filter("__n > 1").isEmpty()
+
+
+def counted(rows: DataFrame, column: str) -> DataFrame:
+    """rows with x for the array's list of terms: each term (term) and how often it is there (n),
+    counted within the row."""
+    placed = rows.withColumn(column, F.array_sort(column)).withColumn("__at", run_starts(F.col(column)))
+    return placed.withColumn("x", F.explode(runs(F.col(column), F.col("__at")))).drop(column, "__at")
+
+
 def postings(nodes: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FTS_FIELDS) -> DataFrame:
-    """(node_id, term, tf): how often each term occurs in a node's fields."""
-    text = F.concat_ws(" ", *fields)
-    return nodes.select(F.col(id_col).alias("node_id"), F.explode(words(text)).alias("term")).groupBy("node_id", "term").agg(F.count("*").alias("tf"))
+    """(node_id, term, tf): how often each term occurs in a node's fields. Only where ids repeat
+    are counts of several rows added up, in a shuffle."""
+    each = nodes.select(F.col(id_col).alias("node_id"), words(F.concat_ws(" ", *fields)).alias("__words"))
+    each = counted(each, "__words").select("node_id", "x.term", F.col("x.n").alias("tf"))
+    return each if unique(nodes, id_col) else each.groupBy("node_id", "term").agg(F.sum("tf").alias("tf"))
 
 
 def indexed(nodes: DataFrame, id_col: str = "id", fields: tuple[str, ...] = FTS_FIELDS) -> DataFrame:
     """postings, each with a hash of the text that it is from."""
-    hashed = nodes.select(F.col(id_col).alias("__id"), F.xxhash64(F.concat_ws(" ", *fields)).alias("text_hash"))
+    text = F.concat_ws(" ", *fields)
+    if unique(nodes, id_col):
+        each = nodes.select(F.col(id_col).alias("node_id"), F.xxhash64(text).alias("text_hash"), words(text).alias("__words"))
+        return counted(each, "__words").select("node_id", "x.term", F.col("x.n").alias("tf"), "text_hash")
+    hashed = nodes.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("text_hash"))
     return postings(nodes, id_col, fields).join(hashed, F.col("node_id") == F.col("__id")).drop("__id")
 
 
@@ -58,7 +79,8 @@ def current_postings(stored: DataFrame, nodes: DataFrame, id_col: str = "id", fi
     other nodes made anew. Only the texts' hashes are looked at where nothing changed."""
     now = nodes.select(F.col(id_col).alias("node_id"), F.xxhash64(F.concat_ws(" ", *fields)).alias("text_hash"))
     good = stored.join(now, ["node_id", "text_hash"], "left_semi").select("node_id", "term", "tf")
-    changed = now.join(stored, ["node_id", "text_hash"], "left_anti").select("node_id")
+    known = stored.select("node_id", "text_hash").distinct()
+    changed = materialize(now.join(known, ["node_id", "text_hash"], "left_anti").select("node_id"), "changed")  # ids alone; a short list is broadcast
     return good.unionByName(postings(nodes.join(changed, F.col(id_col) == F.col("node_id"), "left_semi"), id_col, fields))
 
 
@@ -76,16 +98,13 @@ def bm25(index: DataFrame, query: str) -> DataFrame:
     prefixes = sorted({w for w in re.split(r"[\W_]+", plain(query)) if w})
     if not prefixes:
         return index.select("node_id", F.lit(0.0).alias("score")).limit(0)
-    lengths = index.groupBy("node_id").agg(F.sum("tf").alias("length"))
-    n, mean = lengths.agg(F.count("*"), F.avg("length")).first()  # two numbers
-    hit = F.filter(F.array(*[F.lit(p) for p in prefixes]), lambda p: F.col("term").startswith(p))
-    match = reduce(lambda a, b: a | b, [F.col("term").startswith(p) for p in prefixes])
-    hits = index.filter(match).select("node_id", "tf", F.explode(hit).alias("prefix")).groupBy("prefix", "node_id").agg(F.sum("tf").alias("tf"))
-    df = hits.groupBy("prefix").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
-    scored = hits.join(F.broadcast(df), "prefix").join(lengths, "node_id").groupBy("node_id").agg(F.sum(part).alias("score"), F.count("*").alias("n"))  # df: a row for each word of the query
-    return scored.filter(F.col("n") == len(prefixes)).select("node_id", "score")
+    tfs = [f"__tf{i}" for i in range(len(prefixes))]
+    sums = [F.sum(F.when(F.col("term").startswith(p), F.col("tf")).otherwise(0)).alias(c) for p, c in zip(prefixes, tfs, strict=True)]
+    held = materialize(index.groupBy("node_id").agg(F.sum("tf").alias("length"), *sums), "lengths")  # a row of numbers for each node, read twice
+    n, mean, *dfs = held.agg(F.count("*"), F.avg("length"), *[F.count_if(F.col(c) > 0) for c in tfs]).first()  # one row
+    part = lambda c, df: F.log(1 + (F.lit(float(n)) - F.lit(df) + 0.5) / (F.lit(df) + 0.5)) * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("length") / F.lit(float(mean or 1.0))))
+    score = reduce(lambda a, b: a + b, [part(c, df) for c, df in zip(tfs, dfs, strict=True)])
+    return held.filter(reduce(lambda a, b: a & b, [F.col(c) > 0 for c in tfs])).select("node_id", score.alias("score"))
 
 
 def like(nodes: DataFrame, query: str, fields: tuple[str, ...]) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.scalars import compose_text, cosine, tokens, unit
 from ..plans.shared import materialize
 from .graph import degrees, edge_profile
 from .schema import EDGE_TYPES, NODE_TYPES
+from .text import counted, unique
 
 COMPONENTS = 100
 STRUCT_DIMS = len(NODE_TYPES) + 2 + len(EDGE_TYPES) + 2
@@ -37,8 +38,10 @@ def node_text() -> Column:
 def term_counts(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, tf): tf is the share of the document's tokens."""
     held = docs.select(F.col(id_col).alias("id"), tokens(text).alias("ts")).filter(F.size("ts") > 0)
-    each = held.select("id", F.size("ts").alias("n"), F.explode("ts").alias("term"))
-    return each.groupBy("id", "n", "term").agg(F.count("*").alias("c")).select("id", "term", (F.col("c") / F.col("n")).alias("tf"))
+    each = counted(held.withColumn("n", F.size("ts")), "ts").select("id", "n", "x.term", F.col("x.n").alias("c"))
+    if not unique(docs, id_col):
+        each = each.groupBy("id", "n", "term").agg(F.sum("c").alias("c"))
+    return each.select("id", "term", (F.col("c") / F.col("n")).alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def tfidf(docs: DataFrame, id_col: str = "id", text: Column | None = None) -> tu
     """((id, term, weight), (term, df, idf)); idf = ln((N + 1) / (df + 1)) + 1 over all documents."""
     counts = materialize(term_counts(docs, id_col, node_text() if text is None else text), "terms")  # read twice
     n = docs.count()
-    vocab = document_frequency(counts).withColumn("idf", F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1)
+    vocab = materialize(document_frequency(counts).withColumn("idf", F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1), "vocabulary")  # its size is known then: a small one is broadcast
     return counts.join(vocab, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("weight")), vocab
 
 
