@@ -272,3 +272,14 @@ def test_tasks_group_no_more_lines_when_the_table_grows(spark, sf_dir, monkeypat
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     made = starschema.edges(spark, sf_dir).filter("edge_type <> 'contains'")
     assert made.rdd.getNumPartitions() >= 2 * (lines // 200)  # as many as the session's shuffles before
+
+
+def test_edges_stay_where_they_are_when_few_ends_are_missing(spark, monkeypatch):
+    e, n = edges(spark, ("a", "b"), ("a", "x"), ("x", "a"), ("x", "y"), (None, "a")), nodes(spark, "a", "b", "b")
+    for most in (store.SHORT, 0):
+        monkeypatch.setattr(store, "SHORT", most)
+        good, bad = store.valid_edges(e, n)
+        assert [(r["source_id"], r["target_id"]) for r in good.collect()] == [("a", "b")]
+        assert sorted(str((r["source_id"], r["target_id"])) for r in bad.collect()) == ["('a', 'x')", "('x', 'a')", "('x', 'y')", "(None, 'a')"]
+        if most:
+            assert "rightHint=(strategy=broadcast)" in bad._jdf.queryExecution().optimizedPlan().toString()  # edges were shuffled twice before

@@ -9,6 +9,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize
 from . import schema as S
 
 KEYS = {"nodes": ["id"], "edges": ["source_id", "target_id", "edge_type"], "embeddings": ["node_id"], "file_state": ["file_path"], "index_state": ["key"], "package_docs": ["package_name", "registry"], "session_log": ["session_id"]}
@@ -37,12 +38,20 @@ def upsert_sessions(current: DataFrame, changes: DataFrame) -> DataFrame:
     return upsert(current, merged, ["session_id"])
 
 
+SHORT = 2_000_000  # ids that are broadcast at most, about 80 bytes each
+
+
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges whose ends both exist, the others)."""
-    ids = nodes.select("id")
-    good = edges.join(ids, edges.source_id == ids.id, "left_semi").join(ids, edges.target_id == ids.id, "left_semi")
-    marks = edges.join(ids.select(F.col("id").alias("__s")), F.col("source_id") == F.col("__s"), "left").join(ids.select(F.col("id").alias("__t")), F.col("target_id") == F.col("__t"), "left")
-    return good, marks.filter("__s IS NULL OR __t IS NULL").select(*edges.columns)
+    """(edges whose ends both exist, the others). Ends without a node are listed once; up to
+    SHORT of them are broadcast, so that edges stay where they are."""
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("__end")).filter("__end IS NOT NULL").distinct()
+    gone = materialize(ends.join(nodes.select(F.col("id").alias("__end")), "__end", "left_anti"), "missing")
+    if gone.count() <= SHORT:
+        gone = F.broadcast(gone)
+    s, t = gone.select(F.col("__end").alias("__s")), gone.select(F.col("__end").alias("__t"))
+    marks = edges.join(s, F.col("source_id") == F.col("__s"), "left").join(t, F.col("target_id") == F.col("__t"), "left")
+    bad = F.col("__s").isNotNull() | F.col("__t").isNotNull() | F.col("source_id").isNull() | F.col("target_id").isNull()
+    return marks.filter(~bad).select(*edges.columns), marks.filter(bad).select(*edges.columns)
 
 
 def cascade(nodes: DataFrame, edges: DataFrame, embeddings: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
